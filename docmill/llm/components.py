@@ -50,19 +50,20 @@ def _cell_stars(edges: DataFrame, blocks: int) -> DataFrame:
     return edges.withColumn("cell", cell).groupBy("cell").applyInArrow(run, "v string, r string")
 
 
-def connected_components(edges: DataFrame, blocks: int | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, cell_edges: int = 50_000, max_rounds: int = 60) -> DataFrame:
     """(v, component) for each vertex of ``edges(a, b)`` that is linked to another one.
 
     ``component`` is the smallest linked vertex as text. Edges may be repeated,
     run in either direction or join a vertex to itself; those with a null end
-    are ignored. No edges give an empty result. Vertices are strings.
+    are ignored. No edges give an empty result. Vertices are strings. The grid of
+    each round is as fine as its number of edges asks for, ``cell_edges`` a cell.
     """
-    spark = edges.sparkSession
-    blocks = blocks or max(2, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     low, high = F.least("a", "b"), F.greatest("a", "b")
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b").select(low.alias("a"), high.alias("b"))
+    e = stage(e, "edges")
     maps: list[DataFrame] = []
     for k in range(max_rounds):
+        blocks = max(1, math.ceil(math.sqrt(e.count() / cell_edges)))
         stars = stage(_cell_stars(e, blocks), f"stars{k}")
         least = stars.groupBy("v").agg(F.min("r").alias("p"))
         maps.append(stage(least, f"parents{k}"))
@@ -76,7 +77,7 @@ def connected_components(edges: DataFrame, blocks: int | None = None, max_rounds
         top = up.select(F.col("v").alias("p"), F.col("component").alias("c"))
         own = m.join(top, "p", "left").select("v", F.coalesce("c", "p").alias("component"))
         roots = up.join(m.select("v"), "v", "left_anti")
-        up = own.unionByName(roots)
+        up = stage(own.unionByName(roots), "labels")
     return up
 
 
