@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import components, percentiles, tokens
+from docmill.llm import components, conversations, percentiles, survivors, tokens
 from docmill.session import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,36 @@ def p1_day_summaries(read):
     return percentiles.summary(percentiles.query_times(read("query_metrics")), ["path", "day"])
 
 
+@query("p2_found")
+def p2_found(read):
+    return conversations.reassemble(read("messages"))[1].select("conversation_id")
+
+
+@query("p2_dropped")
+def p2_dropped(read):
+    return conversations.reassemble(read("messages"))[1]
+
+
+@query("p2_conversations")
+def p2_conversations(read):
+    return conversations.reassemble(read("messages"))[0]
+
+
+@query("p2_clock_corrected")
+def p2_clock_corrected(read):
+    return conversations.reassemble(read("messages"), max_clock_offset_s=120.0)[0]
+
+
+@query("p4_found")
+def p4_found(read):
+    return survivors.best_values(read("node_groups"), read("graph_nodes"))
+
+
+@query("p4_survivors")
+def p4_survivors(read):
+    return survivors.survivors(read("node_groups"), read("graph_nodes"))
+
+
 @query("p7_found")
 def p7_found(read):
     return components.node_groups(read("graph_nodes"), read("node_matches"))
