@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import components, conversations, percentiles, survivors, tokens
+from docmill.llm import components, conversations, percentiles, survivors, tokens, vectors
+from docmill.scratch import stage
 from docmill.session import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +104,27 @@ def p4_survivors(read):
     return survivors.survivors(read("node_groups"), read("graph_nodes"))
 
 
+def _unit_vectors(read):
+    rows = vectors.embedding_rows(read("chunk_embeddings"), read("graph_nodes"), read("communities"))
+    return stage(vectors.unit_vectors(rows), "unit")
+
+
+@query("p6_found")
+def p6_found(read):
+    pairs = vectors.similar_pairs(_unit_vectors(read))
+    return pairs.select(F.substring_index("space", "|", 1).alias("source_table"), "id_a", "id_b")
+
+
+#: The query set of the search for all neighbours: the ids whose hash is divisible by 20.
+_ASKED = "pmod(xxhash64(id), 20) = 0"
+
+
+@query("p6_nearest")
+def p6_nearest(read):
+    near, _ = vectors.nearest(_unit_vectors(read), queries=F.expr(_ASKED), share=0.35)
+    return near.select("space", "id", "other", F.round("cosine", 3).alias("cosine"), "rank")
+
+
 @query("p7_found")
 def p7_found(read):
     return components.node_groups(read("graph_nodes"), read("node_matches"))

@@ -99,13 +99,15 @@ def name_candidates(m: DataFrame) -> DataFrame:
 
 def description_candidates(m: DataFrame) -> DataFrame:
     """Qualities of each usable description: distinct words; a finished last sentence; few words in all."""
-    words = F.regexp_extract_all(F.lower("description"), F.lit(r"[\p{L}\p{N}'’]+"), F.lit(0))
+    # a mark of the cut isn't part of the text
+    whole = F.regexp_replace(F.col("description"), r"(?i)(\s*[\[(<]\s*(cut|truncated|more|continued|snip|\.\.\.|…)\s*[\])>]|\.\.\.+|…)\s*$", "")
+    words = F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}\p{N}'’]+"), F.lit(0))
     good = m.where(usable(F.col("description"))).withColumn("w", words)
     return good.select(
         "group_id",
         F.lit("description").alias("field"),
         F.size(F.array_distinct("w")).cast("long").alias("d1"),
-        trimmed(F.col("description")).rlike(r"[.!?。…][\"'”’»)\]]*$").cast("long").alias("d2"),
+        trimmed(F.col("description")).rlike(r"(?<!\.\.)[.!?。][\"'”’»)\]]*$").cast("long").alias("d2"),
         (-F.size("w")).cast("long").alias("d3"),
         "support",
         "node_id",
