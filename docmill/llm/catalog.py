@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import components, conversations, percentiles, survivors, tokens, vectors
+from docmill.llm import components, conversations, packing, percentiles, survivors, tokens, vectors
 from docmill.scratch import stage
 from docmill.session import ship, table
 
@@ -138,3 +138,13 @@ def p8_ids(read):
 @query("p8_round_trip")
 def p8_round_trip(read):
     return tokens.round_trip(read("documents"))
+
+
+@query("p9_containers")
+def p9_containers(read):
+    return packing.pack(packing.token_sizes(read("documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query("p9_fill")
+def p9_fill(read):
+    return packing.fill_report(packing.pack(packing.token_sizes(read("documents"))))
