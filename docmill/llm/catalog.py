@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import components, conversations, packing, percentiles, survivors, tokens, vectors
+from docmill.llm import components, conversations, language, packing, percentiles, survivors, tokens, vectors
 from docmill.scratch import stage
 from docmill.session import ship, table
 
@@ -94,6 +94,22 @@ def p2_clock_corrected(read):
     return conversations.reassemble(read("messages"), max_clock_offset_s=120.0)[0]
 
 
+def _language_rows(read):
+    rows = stage(language.records(read("extraction_results"), read("benchmark_queries"), read("domain_configs")), "records")
+    return rows, language.fit(read("documents").select("text"), rows.select("text"))
+
+
+@query("p3_found")
+def p3_found(read):
+    return language.undeclared(*_language_rows(read))
+
+
+@query("p3_segments")
+def p3_segments(read):
+    rows, model = _language_rows(read)
+    return language.identify(rows.select("record_id", "text"), model).withColumn("confidence", F.round("confidence", 4))
+
+
 @query("p4_found")
 def p4_found(read):
     return survivors.best_values(read("node_groups"), read("graph_nodes"))
