@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import components, conversations, language, packing, percentiles, survivors, tokens, vectors
+from docmill.llm import components, conversations, language, packing, percentiles, scans, survivors, tokens, vectors
 from docmill.scratch import stage
 from docmill.session import ship, table
 
@@ -120,6 +120,16 @@ def p4_survivors(read):
     return survivors.survivors(read("node_groups"), read("graph_nodes"))
 
 
+@query("p5_found")
+def p5_found(read):
+    return scans.defects(read("extraction_results"))
+
+
+@query("p5_repaired")
+def p5_repaired(read):
+    return scans.repaired(read("extraction_results"))
+
+
 def _unit_vectors(read):
     rows = vectors.embedding_rows(read("chunk_embeddings"), read("graph_nodes"), read("communities"))
     return stage(vectors.unit_vectors(rows), "unit")
