@@ -42,7 +42,7 @@ GLYPHS = {
 MARKS = "01!|$5@34689"
 _LOOK_ALIKE = str.maketrans({**{k: w[0] for k, w in GLYPHS.items() if len(k) == 1}, "!": "l", "i": "l", "9": "g"})
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!|]+(?:['’-][\p{L}\p{M}\p{N}@$!|]+)*")
-_NUMERAL = r"(?:\d{1,5}|[ivxlcdm]{1,9})"
+_NUMERAL = r"(?:\d{1,5}|[ivxlc]{1,8})"
 _PAGE = regex.compile(
     rf"[\[\](){{}}—–\-~·•.\s]*(?:(?:page|seite|pagina|página|pág|pag|bladzijde|blz|p|s)\.?\s*)?(?P<n>{_NUMERAL})(?:\s*(?:of|von|di|de|do|da|sur|van|/)\s*\d{{1,5}})?(?:\s*\|\s*\p{{L}}{{1,12}})?[\[\](){{}}—–\-~·•\s]*",
     regex.I,
@@ -77,9 +77,8 @@ def folded(text: str) -> str:
     """Letters only, without case and accents, look-alikes made equal."""
     t = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
     t = " ".join(w for w in t.split() if not regex.fullmatch(r"[\d\W]+", w))
-    for seen, was in GLYPHS.items():
-        if len(seen) > 1:
-            t = t.replace(seen, was[0])
+    for seen in ("rn", "cl", "vv"):
+        t = t.replace(seen, GLYPHS[seen][0])
     t = t.translate(_LOOK_ALIKE)
     return regex.sub(r"[^\p{L}]", "", t)
 
@@ -98,8 +97,8 @@ def line_key(line: str) -> tuple[str, list[int]]:
     parts = _SPLIT.split(s)
     if len(parts) > 1:
         kept = []
-        for p in parts:
-            v = page_value(p)
+        for i, p in enumerate(parts):
+            v = page_value(p) if i in (0, len(parts) - 1) else None
             if v is None:
                 kept.append(p)
             else:
