@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import components, conversations, language, packing, percentiles, scans, survivors, tokens, vectors
+from docmill.llm import components, conversations, language, packing, percentiles, scans, subjects, survivors, tokens, vectors
 from docmill.scratch import stage
 from docmill.session import ship, table
 
@@ -174,3 +174,16 @@ def p9_containers(read):
 @query("p9_fill")
 def p9_fill(read):
     return packing.fill_report(packing.pack(packing.token_sizes(read("documents"))))
+
+
+@query("p10_found")
+def p10_found(read):
+    documents = read("documents")
+    return subjects.document_subjects(documents, subjects.fit(documents, read("subject_labels"), read("subjects")))
+
+
+@query("p10_corpus_shares")
+def p10_corpus_shares(read):
+    documents = read("documents")
+    found = subjects.document_subjects(documents, subjects.fit(documents, read("subject_labels"), read("subjects")))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"))
