@@ -1,0 +1 @@
+"""Readers of document collections and sinks of results."""
