@@ -119,8 +119,8 @@ INDICATOR_QUESTIONS = {
 
 
 def any_of(patterns: tuple[str, ...]) -> str:
-    """One pattern for all."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One pattern for all, word boundaries by Unicode."""
+    return "(?U)" + "|".join(f"(?:{p})" for p in patterns)
 
 
 def classify(query: Column) -> Column:
@@ -132,7 +132,7 @@ def classify(query: Column) -> Column:
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
         confidence = F.when(hit, 0.8) if confidence is None else confidence.when(hit, 0.8)
     for pattern, name, c in QUESTION_WORDS:
-        kind, confidence = kind.when(q.rlike(pattern), name), confidence.when(q.rlike(pattern), c)
+        kind, confidence = kind.when(q.rlike(any_of((pattern,))), name), confidence.when(q.rlike(any_of((pattern,))), c)
     return F.struct(kind.otherwise("unknown").alias("query_type"), confidence.otherwise(0.3).alias("confidence"))
 
 
@@ -204,7 +204,7 @@ def n_keywords(query: Column) -> Column:
     q = F.lower(query)
     total = F.lit(0)
     for p in KEYWORDS:
-        total = total + q.rlike(p).cast("int")
+        total = total + q.rlike(any_of((p,))).cast("int")
     return total
 
 
