@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import excerpt
 
@@ -51,7 +52,7 @@ def overlaps_in_height(top_a: Column, bottom_a: Column, top_b: Column, bottom_b:
     return F.least(bottom_a, bottom_b) - F.greatest(top_a, top_b) > 0
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_relevant_image(content: pd.Series) -> pd.Series:
     """Whether an image has more than 1,000 pixels that aren't white, and colours that vary by 10 or more; unreadable ones don't."""
     try:

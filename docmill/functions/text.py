@@ -134,7 +134,8 @@ def verdict_from_response(c: Column) -> Column:
     """(same_entity, confidence, canonical_name) of a model's verdict on two entities; unreadable ones are 'not the same'."""
     shape = "same_entity boolean, confidence double, canonical_name string"
     braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    v = F.coalesce(F.from_json(fenced_json(c), shape), F.from_json(braces, shape))
+    whole = fenced_json(c)
+    v = F.from_json(F.when(F.try_parse_json(whole).isNotNull(), whole).otherwise(braces), shape)
     return F.struct(F.coalesce(v["same_entity"], F.lit(False)).alias("same_entity"), F.coalesce(v["confidence"], F.lit(0.0)).alias("confidence"), v["canonical_name"].alias("canonical_name"))
 
 
