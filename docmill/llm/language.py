@@ -31,6 +31,9 @@ CHANGE_AT_END, CHANGE_INSIDE = 4.0, 18.0
 #: A foreign stretch counts as a sentence from this many words and letters; a whole record is judged from fewer.
 LEAST_WORDS, LEAST_LETTERS, LEAST_CONFIDENCE = 6, 24, 0.9
 
+#: Highest cross-entropy per character, in nats, where too little was held out to set it.
+UNTRIED_LIMIT = 4.5
+
 # Names that labels give the languages (ISO 639 codes, English and own names).
 LABELS = {
     "en": ("en", "eng", "english", "anglais", "englisch", "inglés", "ingles", "inglese", "inglês", "engels"),
@@ -286,7 +289,8 @@ def train(samples: list[str]) -> Identifier:
             z = final.scores(words).sum(0)
             gaps.append(z - z[k])
             costs.append(-z[k] / sum(len(w) + 1 for w in words))
-        final.limit[x] = float(np.mean(costs) + 6 * np.std(costs) + 0.6)
+        limit = float(np.mean(costs) + 6 * np.std(costs) + 0.6)
+        final.limit[x] = limit if len(held[x]) >= 30 else max(limit, UNTRIED_LIMIT)
     gaps = np.array(gaps)
     loss = {t: float(np.log(np.exp(gaps / t - (gaps / t).max(1, keepdims=True)).sum(1)).mean() + ((gaps / t).max(1)).mean()) for t in (1, 2, 3, 4, 6, 8)}
     final.temperature = min(loss, key=loss.get)

@@ -215,7 +215,8 @@ def _learn_terms(docs: list[list[list[int]]], prior: np.ndarray, tongue: np.ndar
         ratio = np.log(share / base[of])
         # a term tells something if one subject stands out, by far or beyond chance
         beyond = ((share - base[of]) / np.sqrt(base[of])).max(1) * np.sqrt(seen[:, 0])
-        telling = (ratio.max(1) > 1.35) | ((ratio.max(1) > 0.7) & (beyond > 3.3))
+        best = ratio.max(1) / np.maximum(np.log(1 / base[of, ratio.argmax(1)]), 1e-9)  # of what is possible
+        telling = (best > 0.65) | ((best > 0.34) & (beyond > 3.3))
         ratio = np.where(telling[:, None], ratio, 0.0)
         z = np.zeros((len(per_unit), s))
         for j in range(s):
@@ -251,7 +252,7 @@ def train(texts: list[str], sources: list[str], votes: list[dict[str, float]], s
         p, total = learnt[k, :s], learnt[k, s]
         # common words of all subjects have no purity; rare ones no weight
         if total >= LEAST_COUNT * 0.7 and p.max() >= LEAST_PURITY:
-            weights[w] = np.log(np.maximum(p, 0.02) * s) / 2.0
+            weights[w] = np.maximum(np.log(np.maximum(p, 0.02) * s) / np.log(max(2, s)), -1.0)
     model = ChainModel(subjects, weights, np.zeros((s, 1)), list(range(s)), 1.0)
     # the chain learns from units of labelled documents whose best subject their document has, and from silent ones
     xs, ys = [], []
