@@ -32,7 +32,8 @@ FREQUENT, RARER = 5, 8
 CONTEXT_BUCKETS = 4096
 #: Least mean pointwise mutual information of a rare word's neighbours with the frequent word.
 LEAST_LINK = 0.0
-MOST_EDITS = 4
+#: Misread letters of a word that are undone at once, and certain signs beyond which it isn't a word.
+LETTER_EDITS, MOST_MARKS = 2, 5
 
 # What scanning makes of a character, and what it was. Marks and digits inside a word are certain signs.
 GLYPHS = {
@@ -287,30 +288,29 @@ def word_contexts(bodies: DataFrame) -> DataFrame:
 
 
 def unread(word: str) -> list[tuple[str, bool]]:
-    """(word before the misreading, certain signs in it): by one to MOST_EDITS glyph edits."""
-    places: list[tuple[int, int, tuple[str, ...]]] = []
-    for i in range(len(word)):
-        for n in (2, 1):
-            was = GLYPHS.get(word[i : i + n]) if i + n <= len(word) else None
-            if was:
-                places.append((i, n, was))
-    marked = any(c in MARKS for c in word)
-    places = sorted(places, key=lambda p: word[p[0]] not in MARKS)[:10]
-    need = {i for i, c in enumerate(word) if c in MARKS}
-    out = {}
-    for k in range(1, min(MOST_EDITS, len(places)) + 1):
-        for some in itertools.combinations(sorted(places), k):
-            if any(a[0] + a[1] > b[0] for a, b in zip(some, some[1:])) or not need <= {p[0] for p in some}:
+    """(word before the misreading, whether it has certain signs): every mark undone, and up to LETTER_EDITS letters."""
+    marks: list[tuple[int, int, tuple[str, ...]]] = []
+    letters: list[tuple[int, int, tuple[str, ...]]] = []
+    for i, c in enumerate(word):
+        if c in MARKS:
+            marks.append((i, 1, GLYPHS[c]))
+        else:
+            letters.extend((i, n, GLYPHS[word[i : i + n]]) for n in (2, 1) if word[i : i + n] in GLYPHS and i + n <= len(word))
+    if len(marks) > MOST_MARKS:
+        return []
+    out = set()
+    for k in range(0 if marks else 1, LETTER_EDITS + 1):
+        for some in itertools.combinations(letters, k):
+            places = sorted([*marks, *some])
+            if any(x[0] + x[1] > y[0] for x, y in zip(places, places[1:])):
                 continue
-            for new in itertools.product(*(p[2] for p in some)):
+            for new in itertools.product(*(p[2] for p in places)):
                 t, at = [], 0
-                for (i, n, _), w in zip(some, new):
+                for (i, n, _), w in zip(places, new):
                     t += [word[at:i], w]
                     at = i + n
-                out["".join(t) + word[at:]] = marked
-        if len(out) > 200:
-            break
-    return list(out.items())
+                out.add("".join(t) + word[at:])
+    return [(w, bool(marks)) for w in sorted(out)]
 
 
 def word_links(contexts: DataFrame) -> DataFrame:
