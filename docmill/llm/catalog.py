@@ -74,12 +74,42 @@ def p1_day_summaries(read):
     return percentiles.summary(percentiles.query_times(read("query_metrics")), ["path", "day"])
 
 
-@query("p2_found")
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _bare(c: str) -> str:
+    edge = conversations.INVISIBLE
+    return f"coalesce(regexp_replace({c}, {_lit(f'^{edge}|{edge}$')}, '', 'g'), '')"
+
+
+def _roles(roles) -> str:
+    return "(" + ", ".join(map(_lit, roles)) + ")"
+
+
+_DROPPED_SQL = f"""
+WITH m0 AS (SELECT lower({_bare('conversation_id')}) AS cid, id, lower({_bare('role')}) AS r, {_bare('content')} AS content,
+    CASE WHEN "timestamp" IS NULL OR isnan("timestamp") OR "timestamp" <= 0 THEN NULL WHEN "timestamp" < 1e11 THEN "timestamp" WHEN "timestamp" < 1e14 THEN "timestamp" / 1e3
+         WHEN "timestamp" < 1e17 THEN "timestamp" / 1e6 ELSE "timestamp" / 1e9 END AS ts FROM messages),
+m1 AS (SELECT cid, id, content, ts, CASE WHEN r IN {_roles(conversations.QUESTION_ROLES)} THEN 'user' WHEN r IN {_roles(conversations.REPLY_ROLES)} THEN 'assistant' WHEN r IN {_roles(conversations.SIDE_ROLES)} THEN 'side' ELSE '?' END AS speaker FROM m0 WHERE cid <> ''),
+m2 AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY cid, speaker, content, id ORDER BY ts NULLS LAST) = 1),
+m3 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY cid, speaker, content ORDER BY ts NULLS LAST, id) AS gap FROM m2),
+m4 AS (SELECT *, bool_or(ts IS NULL) OVER (PARTITION BY cid) AS untimed FROM m3 WHERE gap IS NULL OR gap > 1.0001),
+k AS (SELECT cid, id, speaker, CASE WHEN untimed THEN 0 ELSE ts END AS at_ FROM m4
+  WHERE content <> '' AND speaker <> 'side' AND NOT (speaker = 'assistant' AND regexp_matches(lower(content), {_lit('(?s)^(' + '|'.join(conversations.FAILURES) + ')$')}))),
+o AS (SELECT *, lag(speaker) OVER w AS prev, lead(speaker) OVER w AS nxt FROM k WINDOW w AS (PARTITION BY cid ORDER BY at_, id)),
+v AS (SELECT cid, bool_or(speaker = '?') AS unknown, bool_or(prev IS NULL AND speaker <> 'user') AS headless, bool_or(speaker = 'user' AND coalesce(nxt, 'user') = 'user') AS unanswered FROM o GROUP BY cid),
+d AS (SELECT c.cid AS conversation_id, CASE WHEN unknown IS NULL THEN 'nothing said' WHEN unknown THEN 'unknown speaker' WHEN headless THEN 'no question at the start' WHEN unanswered THEN 'question without reply' END AS reason
+  FROM (SELECT DISTINCT cid FROM m1) c LEFT JOIN v ON c.cid = v.cid)
+"""
+
+
+@query("p2_found", _DROPPED_SQL + "SELECT conversation_id FROM d WHERE reason IS NOT NULL")
 def p2_found(read):
     return conversations.reassemble(read("messages"))[1].select("conversation_id")
 
 
-@query("p2_dropped")
+@query("p2_dropped", _DROPPED_SQL + "SELECT conversation_id, reason FROM d WHERE reason IS NOT NULL")
 def p2_dropped(read):
     return conversations.reassemble(read("messages"))[1]
 
@@ -135,7 +165,16 @@ def _unit_vectors(read):
     return stage(vectors.unit_vectors(rows), "unit")
 
 
-@query("p6_found")
+_VECTORS_SQL = """
+WITH r AS (SELECT 'chunk_embeddings|' || coalesce(model, '') AS space, vec_id AS id, embedding::DOUBLE[] AS e FROM chunk_embeddings UNION ALL
+  SELECT 'graph_nodes', id, embedding::DOUBLE[] FROM graph_nodes UNION ALL SELECT 'communities', id::VARCHAR, embedding::DOUBLE[] FROM communities),
+u AS (SELECT * FROM r WHERE id IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x::VARCHAR IN ('nan', 'inf', '-inf'))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT * FROM (SELECT space, len(e) AS dim, count(*) AS n FROM u GROUP BY space, len(e)) QUALIFY row_number() OVER (PARTITION BY space ORDER BY n DESC, dim DESC) = 1),
+v AS (SELECT u.* FROM u JOIN s ON u.space = s.space AND len(u.e) = s.dim)
+"""
+
+
+@query("p6_found", _VECTORS_SQL + "SELECT split_part(a.space, '|', 1) AS source_table, a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.space = b.space AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9")
 def p6_found(read):
     pairs = vectors.similar_pairs(_unit_vectors(read))
     return pairs.select(F.substring_index("space", "|", 1).alias("source_table"), "id_a", "id_b")
@@ -151,7 +190,20 @@ def p6_nearest(read):
     return near.select("space", "id", "other", F.round("cosine", 3).alias("cosine"), "rank")
 
 
-@query("p7_found")
+_TRIM = r"lower(regexp_replace({c}, '^[\s\x{{200b}}\x{{feff}}]+|[\s\x{{200b}}\x{{feff}}]+$', '', 'g'))"
+
+
+@query(
+    "p7_found",
+    f"""WITH RECURSIVE v AS (SELECT least(node_a, node_b) AS a, greatest(node_a, node_b) AS b, decided_at, CASE WHEN same_entity THEN 0 ELSE 1 END AS no FROM node_matches WHERE node_a <> node_b),
+l AS (SELECT a, b FROM v QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY decided_at DESC NULLS LAST, no DESC) = 1 AND no = 0),
+al AS (SELECT DISTINCT id, {_TRIM.format(c='x')} AS t FROM (SELECT id, unnest(aliases) AS x FROM graph_nodes)), nm AS (SELECT DISTINCT id, {_TRIM.format(c='name')} AS t FROM graph_nodes),
+e AS (SELECT a, b FROM l UNION SELECT id, x FROM (SELECT id, unnest(merged_from) AS x FROM graph_nodes) WHERE x IS NOT NULL UNION SELECT al.id, nm.id FROM al JOIN nm ON al.t = nm.t WHERE al.t <> ''),
+bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+rc AS (SELECT a AS id, a AS r FROM bo UNION SELECT rc.id, bo.b FROM rc JOIN bo ON rc.r = bo.a),
+g AS (SELECT rc.id, min(rc.r) AS group_id, count(DISTINCT rc.r) AS n FROM rc WHERE rc.r IN (SELECT id FROM graph_nodes) GROUP BY rc.id)
+SELECT id AS node_id, group_id FROM g WHERE n > 1 AND id IN (SELECT id FROM graph_nodes)""",
+)
 def p7_found(read):
     return components.node_groups(read("graph_nodes"), read("node_matches"))
 
