@@ -125,6 +125,17 @@ def join_sentences(texts: Column, limit: float = 0.8) -> Column:
     return F.array_join(kept, " ")
 
 
+def merge_descriptions(members: DataFrame) -> DataFrame:
+    """(root, description) of ``members(root, ord, description)``: their sentences in order, without what was said before.
+
+    Equal sentences, case apart, are reduced to the first before a cluster is gathered.
+    """
+    s = members.select("root", "ord", F.posexplode(F.split("description", r"(?<=[.!?])\s+")).alias("pos", "s")).where(F.trim("s") != "")
+    once = s.groupBy("root", F.lower(F.trim("s")).alias("k")).agg(F.min(F.struct("ord", "pos", "s")).alias("f"))
+    listed = once.groupBy("root").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["s"]).alias("t"))
+    return listed.select("root", join_sentences(F.col("t")).alias("description"))
+
+
 def redirect_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(src, dst, rel_type, weight): both ends moved to their root; loops that arise are dropped, parallel edges added up."""
     e = edges

@@ -317,11 +317,7 @@ def merge_attributes(read):
 def merged_descriptions(read):
     """Greedy over sentences in order; checked against a plain loop by pytest."""
     m = read("graph_nodes").where("description is not null").join(_roots(read), "id")
-    few = m.withColumn("n", F.row_number().over(graph.Window.partitionBy("root").orderBy("id"))).where("n <= 50")
-    texts = few.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "description"))), lambda x: x["description"]).alias("t"))
-    return texts.select("root", resolution.join_sentences(F.col("t")).alias("description"))
-
-
+    return resolution.merge_descriptions(m.select("root", F.col("id").alias("ord"), "description"))
 
 
 @query(

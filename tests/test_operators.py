@@ -176,6 +176,18 @@ def test_resolution(spark):
     assert same("Machine Learning", "ML") and same("ai", "Other") and not same("Java", "JavaScript") and not same("", "")
 
 
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    for n in (1, 2, 3, 50, 5000):
+        v = [rng.choice([rng.lognormvariate(3, 2), 7.0]) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+        got = {r.p: r.value for r in state.exact_percentiles(df, F.col("v"), (0.0, 0.5, 0.95, 1.0)).collect()}
+        assert got == pytest.approx({p: float(np.percentile(v, p * 100)) for p in (0.0, 0.5, 0.95, 1.0)})
+    assert state.exact_percentiles(df.where("false"), F.col("v"), (0.5,)).first().value is None
+
+
 def test_state(spark):
     a = spark.createDataFrame([("s", i, not q, q) for i, q in enumerate([True, True, False, True, True, True, True])], "stage string, attempt int, ok boolean, quota boolean")
     assert state.quota_breaks(a, 3).first().first_stop == 5
