@@ -165,6 +165,27 @@ def normalize_query(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"\s+", " "), r"[?.!,;:]+$", "")
 
 
+def normalize_spaces(c: Column) -> Column:
+    """Lower case and single blanks, as the key of a graph result."""
+    return F.regexp_replace(F.lower(strip(c)), r"\s+", " ")
+
+
+def chunk_kind(name: Column) -> Column:
+    """(is_parent_only, is_child, is_description, is_table) by a chunk's name."""
+    parent, child = name.contains("_parent_chunk_"), name.contains("_child_chunk_")
+    return F.struct((parent & ~child).alias("is_parent_only"), child.alias("is_child"), name.contains("_description_").alias("is_description"), name.contains("_Table_").alias("is_table"))
+
+
+def stem_of(name: Column) -> Column:
+    """The source's stem of a chunk's name, which stem filters compare as a whole."""
+    return F.substring_index(name, "_page_", 1)
+
+
+def entity_text(name: Column, description: Column) -> Column:
+    """What of an entity is embedded."""
+    return F.when(F.coalesce(strip(description), F.lit("")) == "", name).otherwise(F.concat(name, F.lit(": "), description))
+
+
 def normalize_name(c: Column) -> Column:
     return F.lower(strip(c))
 

@@ -358,6 +358,31 @@ def aggregate(nodes: DataFrame, op: str, type_: str | None = None, attribute: st
     raise ValueError(f"unknown aggregation {op!r}")
 
 
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """New nodes beside the old; of those that exist the old row stays."""
+    return nodes.unionByName(new.join(nodes.select("node_id"), "node_id", "left_anti").select(*nodes.columns))
+
+
+def update_nodes(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows of ``changed`` in place of those of the same id; others aren't added."""
+    known = changed.join(nodes.select("node_id"), "node_id", "left_semi").select(*nodes.columns)
+    return nodes.join(changed.select("node_id"), "node_id", "left_anti").unionByName(known)
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without nodes of ``gone(node_id)`` and the edges at them."""
+    e = edges.join(gone.select(F.col("node_id").alias("src")), "src", "left_anti").join(gone.select(F.col("node_id").alias("dst")), "dst", "left_anti")
+    return nodes.join(gone, "node_id", "left_anti"), e.select(*edges.columns)
+
+
+def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between existing nodes; one that exists gains its weight and keeps its type."""
+    ok = new.join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    both = edges.select("src", "dst", "rel_type", "weight", F.lit(0).alias("_new")).unionByName(ok.select("src", "dst", "rel_type", "weight", F.lit(1).alias("_new")))
+    g = both.groupBy("src", "dst").agg(F.min(F.struct("_new", "rel_type")).alias("f"), F.sum("weight").alias("weight"))
+    return g.select("src", "dst", F.col("f.rel_type").alias("rel_type"), "weight")
+
+
 def viewer_feed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, payload): one JSON text per node (with degree) and edge."""
     n = nodes.join(degrees(nodes, edges), "node_id").select(F.lit("node").alias("kind"), F.to_json(F.struct("node_id", "name", "type", "degree")).alias("payload"))

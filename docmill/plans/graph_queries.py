@@ -209,6 +209,20 @@ def viewer_feed(read):
     return graph.viewer_feed(*_tables(read))
 
 
+@query("remove_nodes", f"WITH {_MENTIONS}, gone AS (SELECT node_id FROM nodes WHERE type = 'CONCEPT') SELECT 'node' AS what, node_id AS a, NULL AS b FROM nodes WHERE node_id NOT IN (SELECT node_id FROM gone) UNION ALL SELECT 'edge', src, dst FROM edges WHERE src NOT IN (SELECT node_id FROM gone) AND dst NOT IN (SELECT node_id FROM gone)")
+def remove_nodes(read):
+    n, e = _tables(read)
+    kept, left = graph.remove_nodes(n, e, n.where("type = 'CONCEPT'").select("node_id"))
+    return kept.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(left.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query("domain_themes", "SELECT language, array_to_string(list_sort(list_distinct(flatten(list(document_types)))), '|') AS types FROM domain_configs WHERE language IS NOT NULL GROUP BY language")
+def domain_themes(read):
+    """Lists of several records as one without repeats."""
+    d = read("domain_configs").where("language is not null").select("language", F.explode_outer("document_types").alias("t"))
+    return d.groupBy("language").agg(F.array_join(F.array_sort(F.collect_set("t")), "|").alias("types"))
+
+
 # the aggregation language
 
 

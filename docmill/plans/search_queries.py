@@ -244,3 +244,16 @@ def reranked_yes_no(read):
 @query("compressed_context", f"SELECT doc_id, CASE WHEN length(text) // 4 < 256 THEN text ELSE array_to_string({WORDS.format(c='text')}[1:200], ' ') END AS text FROM documents WHERE text IS NOT NULL")
 def compressed_context(read):
     return read("documents").where("text is not null").select("doc_id", search.compress(F.col("text"), F.lit("")).alias("text"))
+
+
+@query("contexts_once")
+def contexts_once(read):
+    """Matching blocks of two texts aren't in SQL; checked by pytest."""
+    top = search.top_k(_scored(read), 5, ["query_id"]).join(read("documents").select("doc_id", "text"), "doc_id")
+    return search.without_near_repeats(top.select("query_id", "rank", "doc_id", "text"), "query_id", "rank", "text").select("query_id", "rank", "doc_id")
+
+
+@query("filtered_topk", f"WITH {_index_sql()}, {_scores_sql(_BENCH)}, f AS (SELECT s.* FROM s JOIN documents USING (doc_id) WHERE contains(lower(source), 'reports')) SELECT query_id, doc_id, score, rank FROM {_top(3, source='f')}")
+def filtered_topk(read):
+    s = _scored(read).join(read("documents").select("doc_id", "source"), "doc_id")
+    return search.filtered_top_k(s, F.lower("source").contains("reports"), 3, ["query_id"]).select("query_id", "doc_id", "score", "rank")

@@ -176,6 +176,17 @@ def api_sources(read):
     return read("documents").select("doc_id", text.excerpt(F.col("text"), 500).alias("excerpt"))
 
 
+@query("chunk_kinds", "SELECT DISTINCT chunk_id, contains(chunk_id, '_parent_chunk_') AND NOT contains(chunk_id, '_child_chunk_') AS is_parent_only, contains(chunk_id, '_child_chunk_') AS is_child, contains(chunk_id, '_description_') AS is_description, contains(chunk_id, '_Table_') AS is_table, split_part(chunk_id, '_page_', 1) AS stem FROM extraction_results WHERE chunk_id IS NOT NULL")
+def chunk_kinds(read):
+    e = read("extraction_results").where("chunk_id is not null").select("chunk_id").distinct()
+    return e.select("chunk_id", text.chunk_kind(F.col("chunk_id")).alias("k"), text.stem_of(F.col("chunk_id")).alias("stem")).select("chunk_id", "k.*", "stem")
+
+
+@query("entity_texts", f"SELECT id, CASE WHEN coalesce({_strip('description')}, '') = '' THEN name ELSE name || ': ' || description END AS t FROM graph_nodes")
+def entity_texts(read):
+    return read("graph_nodes").select("id", text.entity_text(F.col("name"), F.col("description")).alias("t"))
+
+
 # chunking
 
 

@@ -110,6 +110,22 @@ def node_link_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.select(F.lit("link").alias("kind"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), *[c for c in edges.columns if c not in ("src", "dst")])).alias("json")))
 
 
+def read_node_link(lines: DataFrame, node_schema: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges (source and target as src and dst) of :func:`node_link_lines`."""
+    n = lines.where("kind = 'node'").select(F.from_json("json", node_schema).alias("x")).select("x.*")
+    e = lines.where("kind = 'link'").select(F.from_json("json", edge_schema.replace("src ", "source ", 1).replace("dst ", "target ", 1)).alias("x")).select("x.*")
+    return n, e.withColumnRenamed("source", "src").withColumnRenamed("target", "dst")
+
+
+def dry_run(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(what, key, n): files by extension, and changes against a manifest."""
+    from docmill.operators.state import manifest_diff
+
+    a = count_by_extension(files).select(F.lit("extension").alias("what"), F.col("extension").alias("key"), F.col("files").alias("n"))
+    c = manifest_diff(manifest, files).groupBy("change").agg(F.count("*").alias("n"))
+    return a.unionByName(c.select(F.lit("change").alias("what"), F.col("change").alias("key"), "n"))
+
+
 def backup(tables: dict[str, DataFrame], root: str, now: datetime | None = None) -> str:
     """Write a copy under a name of its time, and return its path."""
     path = f"{root}/{(now or datetime.now(timezone.utc)).strftime('%Y%m%dT%H%M%S%f')}"

@@ -176,6 +176,27 @@ def test_resolution(spark):
     assert same("Machine Learning", "ML") and same("ai", "Other") and not same("Java", "JavaScript") and not same("", "")
 
 
+def test_crud_and_node_link(spark):
+    n = spark.createDataFrame([("a", "A"), ("b", "B")], "node_id string, name string")
+    e = edges_of(spark, [("a", "b", 1)])
+    more = graph.add_nodes(n, spark.createDataFrame([("b", "other"), ("c", "C")], n.schema))
+    assert {tuple(r) for r in more.collect()} == {("a", "A"), ("b", "B"), ("c", "C")}
+    new = graph.update_nodes(n, spark.createDataFrame([("b", "new"), ("z", "no")], n.schema))
+    assert {tuple(r) for r in new.collect()} == {("a", "A"), ("b", "new")}
+    grown = graph.add_edges(e, edges_of(spark, [("a", "b", 2), ("b", "a", 1), ("a", "gone", 1)]), n)
+    assert {(r.src, r.dst): r.weight for r in grown.collect()} == {("a", "b"): 3.0, ("b", "a"): 1.0}
+    left = graph.remove_nodes(n, grown, spark.createDataFrame([("b",)], "node_id string"))
+    assert left[0].count() == 1 and left[1].count() == 0
+    back = files.read_node_link(files.node_link_lines(n, e), "node_id string, name string", "src string, dst string, rel_type string, weight double")
+    assert sorted(map(tuple, back[0].collect())) == sorted(map(tuple, n.collect())) and back[1].first().src == "a"
+
+
+def test_near_repeats(spark):
+    t = "The committee met on Monday and discussed the budget of the coming year in detail."
+    df = spark.createDataFrame([("q", 2, t + "!"), ("q", 1, t), ("q", 3, "Something else entirely."), ("q", 4, None), ("r", 1, t)], "query_id string, rank int, text string")
+    assert {(r.query_id, r.rank) for r in search.without_near_repeats(df, "query_id", "rank", "text").collect()} == {("q", 1), ("q", 3), ("r", 1)}
+
+
 def test_exact_percentiles(spark):
     import numpy as np
 
