@@ -51,6 +51,9 @@ _PAGE = regex.compile(
 _SPLIT = regex.compile(r"\s{2,}")
 _HEADING = regex.compile(r"(\d+\.(\d+\.?)*\s|#+\s|[*•>|])")
 _SENTENCE_END = regex.compile(r"[.!?;,:…][\"'”’»)\]]*$")
+_STOP = regex.compile(r"[.!?…:][\"'”’»)\]]*$")
+_TAIL, _FRONT = regex.compile(r"[\p{L}\p{M}@$!|0-9'’-]+$"), regex.compile(r"[\p{L}\p{M}@$!|0-9'’-]+")
+_NUMBERED = regex.compile(r"\d|(?:^|\s)[ivxlcIVXLC]{1,8}(?:\s|$)")
 _BROKEN = regex.compile(r"[\p{L}\p{M}@$!|0-9'’-]*[\p{L}@$!|01]([-‐‑¬­])\s*$")
 
 
@@ -87,11 +90,19 @@ def folded(text: str) -> str:
 def line_key(line: str) -> tuple[str, list[int]]:
     """(key, numbers) of a line: its folded words, and every number in it that may be the page's."""
     s = line.strip()
-    own = page_value(s)
+    if not s or len(s) > LONGEST_HEADER:
+        return "-", []
+    numbered = _NUMBERED.search(s) is not None
+    own = page_value(s) if numbered else None
     if own is not None:
         return "", [own]
-    if not s or len(s) > LONGEST_HEADER or _HEADING.match(s) and not regex.match(r"[-—–•*|>]\s*\d", s):
+    if _HEADING.match(s) and not regex.match(r"[-—–•*|>]\s*\d", s):
         return "-", []
+    if not numbered:
+        if _SENTENCE_END.search(s[-8:]):
+            return "-", []
+        key = folded(s)
+        return (key if len(key) >= 4 else "-"), []
     numbers, words = [], s.split()
     core = s
     # a page number stands at either end, mostly apart from the words
@@ -116,7 +127,7 @@ def line_key(line: str) -> tuple[str, list[int]]:
                             core = " ".join(rest)
             if numbers:
                 break
-    if _SENTENCE_END.search(core):
+    if _SENTENCE_END.search(core[-8:]):
         return "-", []
     key = folded(core)
     return (key if len(key) >= 4 else "-"), numbers
@@ -177,6 +188,8 @@ def _case_insensitive_words(text: str) -> list[str]:
 
 def strip(text: str, page: int | None, headers: set[str], offset: int | None) -> tuple[list[str], bool, bool]:
     """(lines of the running text, has a header, has a page number)."""
+    if not headers and offset is None:
+        return text.split("\n"), False, False
     kept, header, number = [], False, False
     for line in text.split("\n"):
         key, numbers = line_key(line)
@@ -209,8 +222,8 @@ def join_lines(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
             continue
         if held:
             sign = held[-1]
-            left = regex.search(r"[\p{L}\p{M}@$!|0-9'’-]+$", held[:-1])
-            right = regex.match(r"[\p{L}\p{M}@$!|0-9'’-]+", s)
+            left = _TAIL.search(held[-80:-1])
+            right = _FRONT.match(s)
             if right and left and (s[:1].islower() or s[:1] in MARKS or held[-2:-1].isupper() and s[:1].isupper()):
                 if sign == "-":
                     parts.append((left[0].lower(), right[0].lower()))
@@ -223,16 +236,16 @@ def join_lines(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
                 out[-1] = held[:-1] + s
             else:
                 out[-1] = held + " " + s
-        elif out and not (blank and regex.search(r"[.!?…:][\"'”’»)\]]*$", out[-1])) and not _HEADING.match(s):
+        elif out and not (blank and _STOP.search(out[-1][-8:])) and not _HEADING.match(s):
             # furniture may have left a blank line inside a sentence
-            if blank and not regex.match(r"\p{Ll}", s):
+            if blank and not s[0].islower():
                 out.append(s)
             else:
                 out[-1] += " " + s
         else:
             out.append(s)
         blank = False
-        held = out[-1] if _BROKEN.search(out[-1]) else ""
+        held = out[-1] if s[-1] in "-‐‑¬\xad" and _BROKEN.search(out[-1][-80:]) else ""
     if held:
         parts.append(("", "") if held[-1] != "-" else (regex.search(r"[^\s]+$", held[:-1])[0].lower(), ""))
     return "\n".join(out), parts
