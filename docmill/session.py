@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.scratch import folder
+
 _SHIPPED: set[str] = set()
 
 
@@ -38,13 +39,15 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    fd, name = tempfile.mkstemp(prefix="docmill-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
-    sc.addPyFile(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/docmill/{sc.applicationId}/docmill.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
     _SHIPPED.add(sc.applicationId)
 
 
