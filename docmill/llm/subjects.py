@@ -230,6 +230,8 @@ def _learn_terms(docs: list[list[list[int]]], prior: np.ndarray, tongue: np.ndar
 def train(texts: list[str], sources: list[str], votes: list[dict[str, float]], subjects: list[str]) -> ChainModel:
     """Fit on documents with their votes per subject (empty for unlabelled ones)."""
     s = len(subjects)
+    if not s:
+        return ChainModel([], {}, np.zeros((0, N_OWN + 6)), [], 1.0)
     cut = [[u for u in units(t)] for t in texts]
     number: dict[str, int] = {}
     seen: dict[str, int] = {}
@@ -336,7 +338,7 @@ def unit_shares(documents: DataFrame, model: ChainModel) -> DataFrame:
                 ids, texts, sources = (part.column(i).to_pylist() for i in range(3))
                 xs, own, rows = [], [], []
                 for i, t in enumerate(texts):
-                    d = [u for u in units(t or "") if u[0] != "h"]
+                    d = [u for u in units(t or "") if u[0] != "h"] if s else []
                     if not d:
                         continue
                     fresh = [t for _, t in d if t not in memo]

@@ -398,6 +398,7 @@ def test_subjects(spark):
     got = {tuple(r) for r in subjects.document_subjects(d, m).collect()}
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
     assert subjects.document_subjects(d.where("false"), m).count() == 0
+    assert subjects.document_subjects(d, subjects.fit(d, lab, s.where("false"))).count() == 0
     none = subjects.fit(d.where("false"), lab.where("false"), s)
     assert subjects.document_subjects(d, none).count() == 0
 
