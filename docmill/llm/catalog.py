@@ -147,7 +147,7 @@ def p4_found(read):
 
 @query("p4_survivors")
 def p4_survivors(read):
-    return survivors.survivors(read("node_groups"), read("graph_nodes"))
+    return survivors.survivors(read("node_groups"), read("graph_nodes"), read("extraction_results"))
 
 
 @query("p5_found")

@@ -1,7 +1,7 @@
 """Problem 4: one surviving record for each group of duplicates, field by field.
 
 Every member offers a candidate for each field: a vector of qualities (how
-complete, how trustworthy, how well supported). Candidates that another one of
+complete, how trustworthy, how well supported, how recent). Candidates that another one of
 the group equals or beats in everything and beats in something are dominated;
 those left are the skyline, from which a lexicographic order of the qualities
 takes one. Members without a usable value lie behind every other layer, so a
@@ -66,17 +66,30 @@ def word_plausibility(names: DataFrame) -> DataFrame:
     return each.join(rate, "t").groupBy("w").agg(F.min("rate").alias("lm"))
 
 
-def members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(group_id, node_id, name, description, support): each member once, with its distinct non-blank source chunks."""
+def latest_times(nodes: DataFrame, extraction: DataFrame) -> DataFrame:
+    """(node_id, recency): epoch seconds of the last extraction among the source chunks of each node that has one."""
+    at = extraction.where("chunk_id is not null").groupBy("chunk_id").agg(F.max("extracted_at").alias("at"))
+    own = nodes.select(F.col("id").alias("node_id"), F.explode(F.array_distinct("source_chunks")).alias("chunk_id"))
+    return own.join(at, "chunk_id").groupBy("node_id").agg(F.unix_timestamp(F.max("at").cast("timestamp")).alias("recency"))
+
+
+def members(groups: DataFrame, nodes: DataFrame, extraction: DataFrame | None = None) -> DataFrame:
+    """(group_id, node_id, name, description, support, recency): each member once, with its distinct non-blank source chunks.
+
+    ``recency`` is 0 without ``extraction`` and for nodes without a known chunk.
+    """
     chunks = F.size(F.array_distinct(F.filter(F.transform(F.coalesce("source_chunks", F.array().cast("array<string>")), trimmed), lambda x: x != "")))
     own = nodes.select(F.col("id").alias("node_id"), "name", "description", chunks.alias("support"))
     once = groups.select("group_id", "node_id").where("group_id is not null and node_id is not null").distinct()
-    return once.join(own, "node_id")
+    m = once.join(own, "node_id")
+    if extraction is None:
+        return m.withColumn("recency", F.lit(0).cast("long"))
+    return m.join(latest_times(nodes, extraction), "node_id", "left").withColumn("recency", F.coalesce("recency", F.lit(0).cast("long")))
 
 
 def name_candidates(m: DataFrame) -> DataFrame:
     """Qualities of each usable name: regular and mentioned in full by the group's descriptions; words; spelling."""
-    good = m.where(usable(F.col("name"))).select("group_id", "node_id", F.col("name"), "support")
+    good = m.where(usable(F.col("name"))).select("group_id", "node_id", F.col("name"), "support", "recency")
     phrase = rf"\p{{Lu}}[\p{{L}}\p{{N}}'’-]*(?: (?:{JOINING}|&|\p{{Lu}}[\p{{L}}\p{{N}}'’-]*))*"
     said = m.where("description is not null").select("group_id", F.explode(F.array_distinct(F.regexp_extract_all("description", F.lit(phrase), F.lit(0)))).alias("name"))
     said = said.distinct().withColumn("mentioned", F.lit(1))
@@ -93,6 +106,7 @@ def name_candidates(m: DataFrame) -> DataFrame:
         F.size(F.split("name", r"\s+")).cast("long").alias("d2"),
         (F.col("votes") * 64 + F.col("lm")).alias("d3"),
         "support",
+        "recency",
         "node_id",
     )
 
@@ -110,11 +124,12 @@ def description_candidates(m: DataFrame) -> DataFrame:
         trimmed(F.col("description")).rlike(r"(?<!\.\.)[.!?。][\"'”’»)\]]*$").cast("long").alias("d2"),
         (-F.size("w")).cast("long").alias("d3"),
         "support",
+        "recency",
         "node_id",
     )
 
 
-_DIMS = ("d1", "d2", "d3", "support")
+_DIMS = ("d1", "d2", "d3", "support", "recency")
 
 
 def _undominated(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -133,42 +148,44 @@ def _undominated(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def skyline(candidates: DataFrame, salts: int = 16) -> DataFrame:
-    """The undominated candidates (group_id, field, d1, d2, d3, support, node_id).
+    """The undominated candidates (group_id, field, d1, d2, d3, support, recency, node_id).
 
-    Of candidates that agree in d1, d2 and d3 only the best supported is kept
-    beforehand (of several the one with the smallest id), so what is gathered per
-    group is bounded by the number of different qualities.
+    Of candidates that agree in d1, d2, d3 and recency only the best supported is
+    kept beforehand (of several the one with the smallest id), so what is gathered
+    per group is bounded by the number of different qualities.
     """
-    best = candidates.groupBy("group_id", "field", "d1", "d2", "d3").agg(F.min(F.struct((-F.col("support")).alias("m"), "node_id")).alias("b"))
-    slim = best.select("group_id", "field", "d1", "d2", "d3", (-F.col("b.m")).alias("support"), F.col("b.node_id").alias("node_id"))
+    best = candidates.groupBy("group_id", "field", "d1", "d2", "d3", "recency").agg(F.min(F.struct((-F.col("support")).alias("m"), "node_id")).alias("b"))
+    slim = best.select("group_id", "field", "d1", "d2", "d3", "recency", (-F.col("b.m")).alias("support"), F.col("b.node_id").alias("node_id"))
     salted = slim.withColumn("salt", F.pmod(F.xxhash64("d1", "d2"), F.lit(salts)))
     return _undominated(_undominated(salted, ["group_id", "field", "salt"]).drop("salt"), ["group_id", "field"])
 
 
 def choose(front: DataFrame) -> DataFrame:
-    """(group_id, field, node_id): of each skyline the first by d1, d2, d3 and support, then the smallest id."""
-    key = F.struct((-F.col("d1")).alias("a"), (-F.col("d2")).alias("b"), (-F.col("d3")).alias("c"), (-F.col("support")).alias("d"), "node_id")
+    """(group_id, field, node_id): of each skyline the first by d1, d2, d3, support and recency, then the smallest id."""
+    key = F.struct((-F.col("d1")).alias("a"), (-F.col("d2")).alias("b"), (-F.col("d3")).alias("c"), (-F.col("support")).alias("d"), (-F.col("recency")).alias("e"), "node_id")
     return front.groupBy("group_id", "field").agg(F.min(key).alias("k")).select("group_id", "field", F.col("k.node_id").alias("node_id"))
 
 
-def best_values(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def best_values(groups: DataFrame, nodes: DataFrame, extraction: DataFrame | None = None) -> DataFrame:
     """(group_id, field, node_id): whose name and whose description survive.
 
+    With ``extraction`` the time of a member's last source chunk is a quality too.
+
     A field that no member has a usable value for has no row. Repeated rows count
     once; members without a row in ``nodes``, null groups and null ids are left
     out; empty tables give an empty result.
     """
-    m = stage(members(groups, nodes), "members")
+    m = stage(members(groups, nodes, extraction), "members")
     return choose(skyline(name_candidates(m).unionByName(description_candidates(m))))
 
 
-def survivors(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def survivors(groups: DataFrame, nodes: DataFrame, extraction: DataFrame | None = None) -> DataFrame:
     """One record per group: name and description with the member each is from, the other fields of the best record.
 
     The best record is the one whose name survives, else the one whose
     description does; groups without any usable value keep their smallest id.
     """
-    picks = stage(best_values(groups, nodes), "picks")
+    picks = stage(best_values(groups, nodes, extraction), "picks")
     by = lambda f: picks.where(F.col("field") == f).select("group_id", F.col("node_id").alias(f"{f}_from"))
     every = groups.where("group_id is not null and node_id is not null").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").groupBy("group_id").agg(F.min("node_id").alias("least"), F.countDistinct("node_id").alias("n_members"))
     base = every.join(by("name"), "group_id", "left").join(by("description"), "group_id", "left").withColumn("record", F.coalesce("name_from", "description_from", "least"))

@@ -168,19 +168,24 @@ def test_survivors(spark):
     s = {r.group_id: r for r in survivors.survivors(g, n).collect()}
     assert set(s) == {1, 2, 3} and s[1].name == "Alpha Beta Works" and s[2].node_id == "7" and s[2].name is None
     assert survivors.best_values(g.where("false"), n).count() == 0
+    # equally good and supported: the more recent, where times are known
+    x = spark.sql("select 'x' as chunk_id, timestamp'2026-01-02 00:00:00' as extracted_at union all select 'y', timestamp'2026-01-03 00:00:00'")
+    two = nodes_of(spark, [("a", "Gamma Delta Depot", None, ["x"]), ("b", "Gamma Delta Depot", None, ["y"]), ("c", "Gamma Delta Depot", None, None)])
+    pair = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "group_id long, node_id string")
+    assert survivors.best_values(pair, two).first().node_id == "a" and survivors.best_values(pair, two, x).first().node_id == "b"
 
 
 def test_skyline_is_what_nothing_dominates(spark):
     rng = random.Random(4)
-    rows = [(rng.randint(1, 3), "f", *(rng.randint(0, 5) for _ in range(4)), f"n{i:03d}") for i in range(300)]
-    df = spark.createDataFrame(rows, "group_id int, field string, d1 long, d2 long, d3 long, support long, node_id string")
-    got = {(r.group_id, r.d1, r.d2, r.d3, r.support) for r in survivors.skyline(df, 4).collect()}
+    rows = [(rng.randint(1, 3), "f", *(rng.randint(0, 5) for _ in range(5)), f"n{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "group_id int, field string, d1 long, d2 long, d3 long, support long, recency long, node_id string")
+    got = {(r.group_id, r.d1, r.d2, r.d3, r.support, r.recency) for r in survivors.skyline(df, 4).collect()}
     beats = lambda y, x: all(a >= b for a, b in zip(y, x)) and y != x
-    want = {(r[0], *r[2:6]) for r in rows if not any(o[0] == r[0] and beats(o[2:6], r[2:6]) for o in rows)}
+    want = {(r[0], *r[2:7]) for r in rows if not any(o[0] == r[0] and beats(o[2:7], r[2:7]) for o in rows)}
     assert got == want
     top = {r.group_id: r.node_id for r in survivors.choose(survivors.skyline(df)).collect()}
     for g in {r[0] for r in rows}:
-        assert top[g] == min((r for r in rows if r[0] == g), key=lambda r: (-r[2], -r[3], -r[4], -r[5], r[6]))[6]
+        assert top[g] == min((r for r in rows if r[0] == g), key=lambda r: (*(-x for x in r[2:7]), r[7]))[7]
 
 
 # 5
