@@ -116,12 +116,15 @@ def description_candidates(m: DataFrame) -> DataFrame:
     # a mark of the cut isn't part of the text
     whole = F.regexp_replace(F.col("description"), r"(?i)(\s*[\[(<]\s*(cut|truncated|more|continued|snip|\.\.\.|…)\s*[\])>]|\.\.\.+|…)\s*$", "")
     words = F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}\p{N}'’]+"), F.lit(0))
-    good = m.where(usable(F.col("description"))).withColumn("w", words)
+    finished = trimmed(F.col("description")).rlike(r"(?<!\.\.)[.!?。][\"'”’»)\]]*$")
+    good = m.where(usable(F.col("description"))).withColumn("w", words).withColumn("finished", finished)
+    # the last word of an unfinished text may be a part of one, which would count as another word
+    good = good.withColumn("w", F.when(F.col("finished"), F.col("w")).otherwise(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1))))
     return good.select(
         "group_id",
         F.lit("description").alias("field"),
         F.size(F.array_distinct("w")).cast("long").alias("d1"),
-        trimmed(F.col("description")).rlike(r"(?<!\.\.)[.!?。][\"'”’»)\]]*$").cast("long").alias("d2"),
+        F.col("finished").cast("long").alias("d2"),
         (-F.size("w")).cast("long").alias("d3"),
         "support",
         "recency",
