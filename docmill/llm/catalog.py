@@ -186,7 +186,7 @@ _ASKED = "pmod(xxhash64(id), 20) = 0"
 
 @query("p6_nearest")
 def p6_nearest(read):
-    near, _ = vectors.nearest(_unit_vectors(read), queries=F.expr(_ASKED), share=0.35)
+    near, _ = vectors.nearest(_unit_vectors(read), queries=F.expr(_ASKED), share=0.35, most_cells=1_500)
     return near.select("space", "id", "other", F.round("cosine", 3).alias("cosine"), "rank")
 
 

@@ -100,7 +100,7 @@ def _codes(x: np.ndarray, s: Space) -> np.ndarray:
     return a * len(s.second) + b
 
 
-def fit(vectors: DataFrame, block_rows: int, per_cell: int) -> tuple[dict[str, Space], DataFrame]:
+def fit(vectors: DataFrame, block_rows: int, per_cell: int, most_cells: int = MAX_CENTROIDS**2) -> tuple[dict[str, Space], DataFrame]:
     """Centroids of each space, and the vectors of usual size with their cell."""
     sizes = vectors.groupBy("space", "dim").agg(F.count("*").alias("n"))
     usual = sizes.groupBy("space").agg(F.max(F.struct("n", "dim")).alias("m")).select("space", "m.*").collect()  # one row a space
@@ -115,7 +115,7 @@ def fit(vectors: DataFrame, block_rows: int, per_cell: int) -> tuple[dict[str, S
     learnt: dict[str, tuple] = {}
     for k, r in enumerate(sorted(usual, key=lambda r: r["space"])):
         x = np.stack([np.frombuffer(v, np.float32) for v in sample.vec[sample.space == r["space"]]] or [np.zeros(r["dim"], np.float32)])
-        n_c = int(min(MAX_CENTROIDS, max(1, len(x) // 8), max(2, round(np.sqrt(r["n"] / per_cell)))))
+        n_c = int(min(MAX_CENTROIDS, max(1, len(x) // 8), max(2, round(np.sqrt(min(most_cells, r["n"] / per_cell))))))
         h = r["dim"] // 2
         learnt[r["space"]] = (r["dim"], r["n"], _means(x[:, :h], n_c, 2 * k), _means(x[:, h:], n_c, 2 * k + 1))
     bare = {s: Space(d, n, a, b, np.zeros(0), np.zeros(0), np.zeros(0)) for s, (d, n, a, b) in learnt.items()}
@@ -268,18 +268,19 @@ def _meet(spaces: dict[str, Space], k: int, least: float | None):
 
 
 def nearest(
-    vectors: DataFrame, k: int = 10, candidates: int = 600, share: float = 0.0, least: float | None = None, queries=None, block_rows: int = 20_000, per_cell: int = 16
+    vectors: DataFrame, k: int = 10, candidates: int = 600, share: float = 0.0, least: float | None = None, queries=None, block_rows: int = 20_000, per_cell: int = 16, most_cells: int = MAX_CENTROIDS**2
 ) -> tuple[DataFrame, DataFrame]:
     """(space, id, other, cosine, rank) of the ``k`` most similar of each query, and the filed vectors.
 
     ``vectors`` as of :func:`unit_vectors`; ``queries`` (a condition on id) are
     all by default. Each query looks at the nearest cells that hold at least
-    ``candidates`` entries, or ``share`` of the space if that is more. ``least``
-    leaves out less similar ones early. Cosines are of half-precision vectors
+    ``candidates`` entries, or ``share`` of the space if that is more; a search
+    of a large share wants ``most_cells`` low, since it walks that share of them.
+    ``least`` leaves out less similar ones early. Cosines are of half-precision vectors
     (error under 0.001). Repeated ids are the same vector; a vector is never its
     own neighbour.
     """
-    spaces, filed = fit(vectors, block_rows, per_cell)
+    spaces, filed = fit(vectors, block_rows, per_cell, most_cells)
     if not spaces:
         empty = vectors.sparkSession.createDataFrame([], "space string, id string, other string, cosine float, rank int")
         return empty, filed
