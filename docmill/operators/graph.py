@@ -104,7 +104,7 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n, e = nodes.agg(F.count("*").alias("n")), edges.agg(F.count("*").alias("e"))
     row = lambda d, stat, key, value: d.select(F.lit(stat).alias("stat"), key.cast("string").alias("key"), value.cast("double").alias("value"))
     nothing = F.lit(None)
-    both = n.crossJoin(e)  # one row each
+    both = n.withColumn("e", e.scalar())
     parts = [
         row(n, "total_nodes", nothing, F.col("n")),
         row(e, "total_edges", nothing, F.col("e")),
@@ -240,8 +240,8 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
     inside = w.join(c.withColumnsRenamed({"node_id": "a", "community": "ca"}), "a").join(c.withColumnsRenamed({"node_id": "b", "community": "cb"}), "b")
     ends = inside.select(F.col("ca").alias("c"), "weight").unionByName(inside.select(F.col("cb").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("tot"))
     within = inside.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.sum("weight").alias("win"))
-    m = w.agg(F.sum("weight").alias("m"))
-    return ends.join(within, "c", "left").crossJoin(F.broadcast(m)).agg(F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m") - resolution * (F.col("tot") / (2 * F.col("m"))) ** 2).alias("modularity"))
+    m = w.agg(F.sum("weight")).scalar()
+    return ends.join(within, "c", "left").withColumn("m", m).agg(F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m") - resolution * (F.col("tot") / (2 * F.col("m"))) ** 2).alias("modularity"))
 
 
 def community_prompts(nodes: DataFrame, edges: DataFrame, communities: DataFrame, most_nodes: int = 20, most_edges: int = 15) -> DataFrame:
@@ -345,8 +345,8 @@ def aggregate(nodes: DataFrame, op: str, type_: str | None = None, attribute: st
         return n.agg(F.count("*").alias("count"))
     if op == "COUNT_BY":
         hit = n.where(F.lower(F.coalesce(held, F.lit(""))) == (value or "").lower())
-        nth = hit.orderBy("name", "id").limit(20).agg(F.array_sort(F.collect_list("name")).alias("names"))
-        return hit.agg(F.count("*").alias("count")).crossJoin(nth)  # one row each
+        first = hit.orderBy("name", "id").limit(20).agg(F.array_sort(F.collect_list("name")))
+        return hit.agg(F.count("*").alias("count")).withColumn("names", first.scalar())
     if op == "LIST":
         return n.select("id", "name")
     if op == "GROUP_BY":

@@ -190,10 +190,10 @@ def sample_per_folder(files: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """At most ``most`` files, spread over folders: an equal share of each by seeded hash, the rest by hash from all."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     f = files.withColumn("folder", folder).withColumn("h", F.xxhash64("path", F.lit(seed)))
-    n = f.agg(F.count_distinct("folder").alias("n_folders"))
+    n = f.agg(F.count_distinct("folder")).scalar()
     nth = F.row_number().over(Window.partitionBy("folder").orderBy("h", "path"))
-    ranked = f.withColumn("nth", nth).crossJoin(F.broadcast(n))  # one row
-    first = (F.col("nth") > F.ceil(F.lit(most) / F.col("n_folders"))).cast("int")
+    ranked = f.withColumn("nth", nth).withColumn("share", F.ceil(F.lit(most) / n))
+    first = (F.col("nth") > F.col("share")).cast("int")
     return ranked.orderBy(first, "h", "path").limit(most).select(*files.columns)
 
 

@@ -235,7 +235,7 @@ def agg_count(read):
 def agg_count_by(read):
     n = read("graph_nodes").where("name is not null or coalesce(element_at(attributes, 'year'), '') <> '2014'")
     c = graph.aggregate(read("graph_nodes"), "COUNT_BY", attribute="year", value="2014").select("count")
-    return c.crossJoin(graph.aggregate(n, "COUNT_BY", attribute="year", value="2014").select(F.array_join("names", "|").alias("names")))
+    return c.withColumn("names", graph.aggregate(n, "COUNT_BY", attribute="year", value="2014").select(F.array_join("names", "|")).scalar())
 
 
 @query("agg_list", "SELECT id, name FROM graph_nodes WHERE lower(type) = 'dataset'")
