@@ -344,10 +344,10 @@ def word_links(contexts: DataFrame) -> DataFrame:
     pairs = stage(guesses.join(known, "v").where("nv >= n * if(sure, 1, %d)" % RARER), "guesses")
     beside = contexts.where("ctx >= 0")
     all_n = beside.groupBy("ctx").agg(F.sum("n").alias("nc"))
-    total = F.broadcast(all_n.agg(F.sum("nc").alias("total")))  # one row
+    total = all_n.agg(F.sum("nc")).scalar()
     mine = pairs.join(beside.select("w", "ctx", F.col("n").alias("nw")), "w")
     theirs = beside.select(F.col("w").alias("v"), "ctx", F.col("n").alias("nvc"))
-    both = mine.join(theirs, ["v", "ctx"], "left").join(F.broadcast(all_n), "ctx").crossJoin(total)  # CONTEXT_BUCKETS rows, and one
+    both = mine.join(theirs, ["v", "ctx"], "left").join(F.broadcast(all_n), "ctx").withColumn("total", total)  # CONTEXT_BUCKETS rows
     expected = 2.0 * F.col("nv") * F.col("nc") / F.col("total")
     pmi = F.log((F.coalesce("nvc", F.lit(0)) + 0.5) / (expected + 0.5))
     scored = both.groupBy("w", "v", "nv", "sure").agg((F.sum(pmi * F.col("nw")) / F.sum("nw")).alias("score"))
