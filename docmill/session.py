@@ -28,16 +28,14 @@ def local_session(name: str = "docmill", cores: str = "*", partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the executors of a cluster, once per application.
-
-    Local masters share the driver's import path, so nothing is sent there.
-    """
+    """Give the package to the Python workers, once per application; they needn't have it on their path."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root, held = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
