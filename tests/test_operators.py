@@ -321,3 +321,53 @@ def test_incremental_ingest(spark, tmp_path):
     spark.createDataFrame([("a", 1, 1.0, "h1", "x"), ("b", 2, 2.0, "h3", "z")], shape).coalesce(1).write.mode("append").parquet(str(src))
     run()
     assert sorted((r.path, r.t) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", "X"), ("b", "Y"), ("b", "Z")]
+
+
+def test_sinks_of_metrics(spark, tmp_path):
+    m = spark.createDataFrame([(1, 1.0, "fast"), (2, 3.0, "agent"), (3, 2.0, None)], "id int, timestamp double, path string")
+    files.metrics_csv(m, f"{tmp_path}/c")
+    files.metrics_json(m, f"{tmp_path}/j")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/c").count() == 3
+    assert {r.id for r in spark.read.json(f"{tmp_path}/j").collect()} == {1, 2, 3}
+    assert [r.id for r in files.newest(m, 2, "timestamp").collect()] == [2, 3]
+
+
+def test_dates_and_dry_run(spark):
+    c = spark.createDataFrame([("a/b",), ("x",), ("none",)], "document string")
+    d = spark.createDataFrame([("a__b", 1.0), ("x", 2.0)], "stem string, mtime double")
+    assert {r.document: r.file_date for r in files.date_of(c, d).collect()} == {"a/b": 1.0, "x": 2.0, "none": None}
+    f = spark.createDataFrame([("p.md", 1, 1.0, "h"), ("q.md", 1, 1.0, "i")], "path string, size long, mtime double, content_hash string")
+    got = {(r.what, r.key): r.n for r in files.dry_run(f, f.where("path = 'p.md'")).collect()}
+    assert got == {("extension", "md"): 2, ("change", "new"): 1}
+
+
+def test_caps_and_boxes(spark):
+    rows = [(f"e{i}", i, f"c{i}_{j}") for i in range(3) for j in range(5)] + [("e9", 9, "c0_0")]
+    df = spark.createDataFrame(rows, "entity string, rank int, chunk string")
+    got = [r.chunk for r in search.capped_chunks(df, "entity", "rank", "chunk", 2, 5).collect()]
+    assert got == ["c0_0", "c0_1", "c1_0", "c1_1", "c2_0"]
+    o = lambda a, b, c, d: spark.range(1).select(render.overlaps_in_height(F.lit(a), F.lit(b), F.lit(c), F.lit(d))).first()[0]
+    assert o(0, 10, 5, 20) and not o(0, 10, 10, 20)
+
+
+def test_multi_index_and_members(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 0.5)], "k string, score double")
+    b = spark.createDataFrame([("t", 1.0)], "k string, score double")
+    assert [(r.k, r.content_type) for r in search.multi_index({"text": a, "table": b}, {"table": 0.9}, 2, "k").orderBy("rank").collect()] == [("x", "text"), ("t", "table")]
+    m = spark.createDataFrame([("r", "A", 1), ("r", "B", 2), ("r", "B", 3), ("s", "C", 1), ("s", "D", 2)], "root string, type string, ord int")
+    assert {r.root: r.type for r in resolution.majority_type(m).collect()} == {"r": "B", "s": "C"}
+    d = spark.createDataFrame([("r", 1, "One two three. Four five six."), ("r", 2, "one two three. New words here."), ("s", 1, "")], "root string, ord int, description string")
+    assert {r.root: r.description for r in resolution.merge_descriptions(d).collect()} == {"r": "One two three. Four five six. New words here."}
+
+
+def test_state_with_a_time_to_live(spark, tmp_path):
+    src = tmp_path / "kv"
+    spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "key string, value double").coalesce(1).write.parquet(str(src))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("key string, value double").parquet(str(src))
+        q = jobs.ttl_cache(stream, 60_000).writeStream.outputMode("append").format("memory").queryName("t3").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted((r.key, r.value, r.hit) for r in spark.table("t3").collect()) == [("a", 1.0, False), ("a", 2.0, True), ("b", 3.0, False)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
