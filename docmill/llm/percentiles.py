@@ -40,14 +40,16 @@ def usable(c, most: float = MOST_MS):
 def summary(df: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS, id_col: str | None = "id", most: float = MOST_MS) -> DataFrame:
     """(``keys``, metric, value, n): counts of rounded usable values.
 
-    With ``id_col``, rows of one id count once (of differing rows the smallest).
+    With ``id_col``, rows of one id count once (of differing rows the smallest),
+    rows with a null id each.
     Null keys form a group of their own. Metrics without a usable value have no
     row. An empty table gives an empty summary; other columns are ignored.
     """
     rows = df.select(*([id_col] if id_col else []), *keys, *metrics)
     if id_col:
-        kept = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*keys, *metrics)).alias("r")).select("r.*")
-        rows = kept.unionByName(rows.where(F.col(id_col).isNull()).drop(id_col))
+        # rows without an id stay apart by a number of their own
+        own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+        rows = rows.withColumn("_row", own).groupBy(id_col, "_row").agg(F.min(F.struct(*keys, *metrics)).alias("r")).select("r.*")
     long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x"))
     good = long.select(*keys, "x.metric", "x.v").where(usable(F.col("v"), most))
     return good.groupBy(*keys, "metric", rounded(F.col("v")).alias("value")).agg(F.count("*").alias("n"))

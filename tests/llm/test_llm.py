@@ -42,6 +42,8 @@ def test_percentiles_are_the_ranked_values(spark):
                 want = v[max(1, int(np.ceil(q * len(v) - 1e-9))) - 1]
                 assert n == len(v) and abs(x - want) <= max(0.0501, 0.00051 * want)
     assert percentiles.percentiles(s.where("false"), ["g", "metric"]).count() == 0
+    ids = spark.createDataFrame([(None, "a", 1.0), (None, "a", 1.0), (1, "a", 1.0), (1, "a", 1.0)], "id int, g string, v double")
+    assert percentiles.summary(ids, ["g"], ("v",)).first().n == 3
 
 
 # 2
