@@ -24,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's owner cuts text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Memoised words and states per worker; beyond that the memo starts anew (speed only).
-MEMO_WORDS, MEMO_STATES = 400_000, 200_000
+MEMO_WORDS, MEMO_STATES = 200_000, 60_000
 BATCH_ROWS = 512
 _START = -2
 
