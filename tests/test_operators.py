@@ -1,6 +1,7 @@
 """What SQL can't check: greedy and iterative operators against plain loops, edge cases, sinks, streams, agent."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -366,8 +367,12 @@ def test_state_with_a_time_to_live(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema("key string, value double").parquet(str(src))
-        q = jobs.ttl_cache(stream, 60_000).writeStream.outputMode("append").format("memory").queryName("t3").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = jobs.ttl_cache(stream, 60_000).writeStream.outputMode("append").format("memory").queryName("t3").option("checkpointLocation", f"{tmp_path}/ck").start()
+        for _ in range(60):  # processing time goes on, so the query never ends by itself
+            if q.lastProgress and spark.table("t3").count() >= 3:
+                break
+            time.sleep(0.5)
+        q.stop()
         assert sorted((r.key, r.value, r.hit) for r in spark.table("t3").collect()) == [("a", 1.0, False), ("a", 2.0, True), ("b", 3.0, False)]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
