@@ -4,7 +4,9 @@ Each vector is cut into two halves and each half is quantised by its own
 centroids, learnt from a bounded sample; a pair of centroids names a cell, and
 every vector is filed under its cell. A query ranks the centroids of each half by
 distance and walks the pairs in order of summed distance, with a heap, until the
-cells seen hold enough entries; those entries are then ranked by cosine.
+cells seen hold enough entries; those entries are then ranked by cosine. A search
+for all pairs above a cosine counts nothing: it leaves out only cells whose
+distance rules such a cosine out, so no pair is lost however the vectors lie.
 
 The first half's centroids are gathered into groups of about ``block_rows``
 entries. A query travels to the groups its cells lie in, not to single cells, and
@@ -15,6 +17,7 @@ entries and of queries, so that no task holds more than a block of each.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -212,7 +215,7 @@ def _route(filed: DataFrame, spaces: dict[str, Space], enough: dict[str, int], q
     return filed.withColumn("asks", queries).mapInArrow(run, "space string, grp int, se int, sq int, role int, id string, vec binary, cells array<int>")
 
 
-def _meet(spaces: dict[str, Space], k: int, least: float | None):
+def _meet(spaces: dict[str, Space], k: int):
     """The reducer of a block: cosines of its queries with the entries of their cells."""
 
     def run(key, t):
@@ -242,9 +245,7 @@ def _meet(spaces: dict[str, Space], k: int, least: float | None):
             for at in range(b0, b1, 4096):
                 who = asker[at : min(b1, at + 4096)]
                 s = x[who] @ x[entries].T
-                if least is not None:
-                    i, j = np.nonzero(s >= least)
-                elif s.shape[1] > k + 1:
+                if s.shape[1] > k + 1:
                     j = np.argpartition(-s, k, axis=1)[:, : k + 1]
                     i, j = np.repeat(np.arange(len(who)), k + 1), j.ravel()
                 else:
@@ -268,7 +269,7 @@ def _meet(spaces: dict[str, Space], k: int, least: float | None):
 
 
 def nearest(
-    vectors: DataFrame, k: int = 10, candidates: int = 600, share: float = 0.0, least: float | None = None, queries=None, block_rows: int = 20_000, per_cell: int = 16, most_cells: int = MAX_CENTROIDS**2
+    vectors: DataFrame, k: int = 10, candidates: int = 600, share: float = 0.0, queries=None, block_rows: int = 20_000, per_cell: int = 16, most_cells: int = MAX_CENTROIDS**2
 ) -> tuple[DataFrame, DataFrame]:
     """(space, id, other, cosine, rank) of the ``k`` most similar of each query, and the filed vectors.
 
@@ -276,8 +277,7 @@ def nearest(
     all by default. Each query looks at the nearest cells that hold at least
     ``candidates`` entries, or ``share`` of the space if that is more; a search
     of a large share wants ``most_cells`` low, since it walks that share of them.
-    ``least`` leaves out less similar ones early. Cosines are of half-precision vectors
-    (error under 0.001). Repeated ids are the same vector; a vector is never its
+    Cosines are of half-precision vectors (error under 0.001). Repeated ids are the same vector; a vector is never its
     own neighbour.
     """
     spaces, filed = fit(vectors, block_rows, per_cell, most_cells)
@@ -286,7 +286,7 @@ def nearest(
         return empty, filed
     enough = {s: max(candidates, int(share * x.n)) for s, x in spaces.items()}
     routed = _route(filed, spaces, enough, F.lit(True) if queries is None else queries)
-    met = routed.groupBy("space", "grp", "se", "sq").applyInArrow(_meet(spaces, k, least), "space string, id string, other string, cosine float").distinct()
+    met = routed.groupBy("space", "grp", "se", "sq").applyInArrow(_meet(spaces, k), "space string, id string, other string, cosine float").distinct()
     rank = F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "other"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k), filed
 
@@ -305,19 +305,143 @@ def exact_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "space string, id_a string, id_b string, cosine double")
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9, k: int = 10, doubt: float = 0.002, **how) -> DataFrame:
-    """(space, id_a, id_b) with id_a < id_b: pairs of cosine ``least`` or more where one is among the other's ``k`` nearest.
+#: Added to the greatest distance of a pair when cells are ruled out: more than float32 sums and half-precision vectors are off.
+_SLACK = 0.003
+#: Cosines computed at once, and pairs a batch that leaves a block.
+_SCORES, _PAIRS = 8_000_000, 200_000
+_PAIR = "space string, id_a string, id_b string, cosine float"
 
-    Pairs within ``doubt`` of the limit are decided on the full vectors.
+
+def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """At least the squared distance of each ``x`` to anything that is nearest to each centroid.
+
+    What is nearest to c lies beyond the plane halfway between c and the centroid nearest to x.
+    """
+    d = -2 * x @ c.T + (c * c).sum(1)
+    own = d.argmin(1)
+    apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))[own]
+    far = np.where(apart > 1e-3, (d - d[np.arange(len(x)), own][:, None]) / (2 * np.maximum(apart, 1e-3)), 0)
+    return np.maximum(far, 0) ** 2
+
+
+def _within(x: np.ndarray, s: Space, least: float):
+    """``f(i)``: which of ``x`` can have a cosine of ``least`` with an entry under first centroid ``i``."""
+    h = s.dim // 2
+    reach = (np.sqrt(max(0.0, 2 - 2 * least)) + _SLACK) ** 2
+    g1, g2 = _gaps(x[:, :h], s.first), _gaps(x[:, h:], s.second)
+
+    def some(i: int) -> np.ndarray:
+        filled = np.flatnonzero(s.cells[i])
+        who = np.flatnonzero(g1[:, i] <= reach) if len(filled) else np.zeros(0, int)
+        return who[g1[who, i] + g2[np.ix_(who, filled)].min(1) <= reach] if len(who) else who
+
+    return some
+
+
+def _route_within(filed: DataFrame, spaces: dict[str, Space], least: float, block_rows: int) -> DataFrame:
+    """(space, grp, se, sq, role, id, vec, cell): entries and queries at the blocks where they meet.
+
+    A query goes to its own group and those after it, so two groups meet once.
     """
-    near, filed = nearest(vectors, k=k, least=least - doubt, **how)
-    pairs = near.select("space", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "cosine")
+    asking = {}  # sub-blocks of the queries of each group: all vectors of groups up to it may come
+    for s, x in spaces.items():
+        size = np.bincount(x.group_of, weights=x.cells.sum(1), minlength=len(x.parts))
+        asking[s] = np.maximum(1, np.ceil(np.cumsum(size) / (2 * block_rows))).astype(int)
+
+    def run(batches):
+        for b in batches:
+            names, ids = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
+            own_cell = b.column(4).to_numpy()
+            out: list[tuple] = []
+            for s in np.unique(names):
+                x = spaces[s]
+                own = np.flatnonzero(names == s)
+                m = _matrix(b.column(3).take(pa.array(own)), x.dim)
+                group = x.group_of[own_cell[own] // len(x.second)]
+                goes = np.zeros((len(own), len(x.parts)), bool)
+                some = _within(m, x, least)
+                for i in range(len(x.first)):
+                    goes[some(i), x.group_of[i]] = True
+                half = m.astype(np.float16)
+                for k, i in enumerate(own.tolist()):
+                    v, c = half[k].tobytes(), int(own_cell[i])
+                    mark = sum(ids[i].encode()) * 2654435761 & 0x7FFFFFFF
+                    g = int(group[k])
+                    out.extend((s, g, mark % int(x.parts[g]), q, 0, ids[i], v, c) for q in range(asking[s][g]))
+                    for g in (np.flatnonzero(goes[k, g:]) + g).tolist():
+                        out.extend((s, g, e, mark % int(asking[s][g]), 1, ids[i], v, c) for e in range(x.parts[g]))
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["space", "grp", "se", "sq", "role", "id", "vec", "cell"])
+
+    return filed.mapInArrow(run, "space string, grp int, se int, sq int, role int, id string, vec binary, cell int")
+
+
+def _meet_within(spaces: dict[str, Space], least: float):
+    """The reducer of a block: its pairs of cosine ``least`` or more, in batches of bounded size."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, here = spaces[key[0].as_py()], key[1].as_py()
+        t = pa.Table.from_batches(list(batches))
+        role, cell = t.column("role").to_numpy(), t.column("cell").to_numpy()
+        ids = np.array(t.column("id").to_pylist(), object)
+        x = _matrix(t.column("vec"), s.dim)
+        first = cell // len(s.second)
+        e, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        e = e[np.argsort(first[e], kind="stable")]
+        at_home = s.group_of[first] == here
+
+        def batch(a, b, cosine):
+            # within a group each pair is seen from both sides
+            once = np.where(at_home[a], ids[a] < ids[b], ids[a] != ids[b]).astype(bool)
+            a, b, cosine = ids[a[once]], ids[b[once]], cosine[once]
+            less = (a < b).astype(bool)
+            columns = [pa.array([key[0].as_py()] * len(a), pa.string()), pa.array(np.where(less, a, b), pa.string()), pa.array(np.where(less, b, a), pa.string()), pa.array(cosine, pa.float32())]
+            return pa.RecordBatch.from_arrays(columns, ["space", "id_a", "id_b", "cosine"])
+
+        if not len(e) or not len(q):
+            return
+        some = _within(x[q], s, least)
+        for i in np.unique(first[e]):
+            entries, who = e[first[e] == i], q[some(i)]
+            y = x[entries].T
+            step = max(1, _SCORES // len(entries))
+            for at in range(0, len(who), step):
+                part = who[at : at + step]
+                cosine = (x[part] @ y).ravel()
+                hit = np.flatnonzero(cosine >= least)
+                for h in range(0, len(hit), _PAIRS):
+                    n = hit[h : h + _PAIRS]
+                    yield batch(part[n // len(entries)], entries[n % len(entries)], cosine[n])
+
+    return run
+
+
+def similar_pairs(
+    vectors: DataFrame, least: float = 0.9, k: int | None = None, doubt: float = 0.002, candidates: int = 0, block_rows: int = 20_000, per_cell: int = 16, most_cells: int = MAX_CENTROIDS**2
+) -> DataFrame:
+    """(space, id_a, id_b) with id_a < id_b: all pairs of cosine ``least`` or more.
+
+    ``k`` keeps only those where one is among the other's ``k`` nearest. The
+    search ends by distance, so ``candidates`` has no effect here; where the
+    vectors have little structure, it compares nearly all of a space. Pairs
+    within ``doubt`` of the limit are decided on the full vectors.
+    """
+    spaces, filed = fit(vectors, block_rows, per_cell, most_cells)
+    if not spaces:
+        return vectors.sparkSession.createDataFrame([], "space string, id_a string, id_b string")
+    routed = _route_within(filed, spaces, least - doubt, block_rows)
+    pairs = routed.groupBy("space", "grp", "se", "sq").applyInArrow(_meet_within(spaces, least - doubt), _PAIR)
     pairs = stage(pairs.groupBy("space", "id_a", "id_b").agg(F.max("cosine").alias("cosine")), "pairs")
+    if k is not None:
+        both = pairs.withColumn("id", F.explode(F.array("id_a", "id_b"))).withColumn("other", F.when(F.col("id") == F.col("id_a"), F.col("id_b")).otherwise(F.col("id_a")))
+        rank = F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "other"))
+        pairs = stage(both.withColumn("rank", rank).where(F.col("rank") <= k).select("space", "id_a", "id_b", "cosine").distinct(), "nearest")
     sure = pairs.where(F.col("cosine") >= least + doubt).select("space", "id_a", "id_b")
     unsure = pairs.where(F.col("cosine") < least + doubt)
     if unsure.isEmpty():
         return sure
-    return sure.unionByName(exact_cosines(unsure, filed).where(F.col("cosine") >= least).select("space", "id_a", "id_b"))
+    return sure.unionByName(exact_cosines(unsure, filed).where(F.col("cosine") >= least).select("space", "id_a", "id_b").distinct())
 
 
 def embedding_rows(chunks: DataFrame, nodes: DataFrame, communities: DataFrame) -> DataFrame:

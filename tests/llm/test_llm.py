@@ -257,6 +257,25 @@ def test_neighbours_against_brute_force(spark):
     assert vectors.similar_pairs(vectors.unit_vectors(df.where("false"))).count() == 0
 
 
+def test_all_pairs_of_a_dense_region(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(6000, 64))
+    x[:3000] = 8 * np.eye(64)[0] + 0.97 * rng.normal(size=(3000, 64))  # half of all around one direction
+    for i in range(0, 600, 2):
+        d = rng.normal(size=64)
+        n = x[i] / np.linalg.norm(x[i])
+        d -= n * (n @ d)
+        x[i + 1] = 0.92 * n + np.sqrt(1 - 0.92**2) * d / np.linalg.norm(d)
+    x[3000:3015] = x[3000] + rng.normal(scale=0.05, size=(15, 64))  # more than ten alike
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(n @ n.T, 1)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(s >= 0.9))}
+    rows = [("t", f"v{i:04d}", [float(y) for y in v]) for i, v in enumerate(x)]
+    u = vectors.unit_vectors(spark.createDataFrame(rows, "space string, id string, embedding array<double>"))
+    for block in (700, 20_000):
+        assert {(r.id_a, r.id_b) for r in vectors.similar_pairs(u, block_rows=block).collect()} == want
+
+
 # 7
 
 
