@@ -33,10 +33,11 @@ EM_ROUNDS = 12
 BEAM = 4
 #: A term speaks for a subject from this share of its occurrences, and this many.
 LEAST_PURITY, LEAST_COUNT = 0.6, 3
-#: A unit of a labelled document is about a subject from this score: what two telling terms give, in a table row one.
-CLEAR_SCORE, CLEAR_ROW = 1.3, 0.9
+#: Where the weight of a term score may change, so that the chain can learn how much is enough.
+BENDS = (0.25, 0.75, 1.25, 1.75)
+CHAIN_ROUNDS = 5
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]+")
-N_OWN = 7
+N_OWN = 7 + len(BENDS)
 _RULE = regex.compile(r"\|?[\s:|\-=]+\|?")
 _MARKER = regex.compile(r"^\s*(?:[-*•>]\s+|\d+[.)]\s+|[QAFRPD]\s?:\s+)")
 
@@ -142,9 +143,8 @@ def _design(x: np.ndarray, before: np.ndarray, j: int, s: int) -> np.ndarray:
     own, doc = x[..., j : j + 1], x[..., s + j : s + j + 1]
     other = np.max(np.delete(x[..., :s], j, axis=-1), axis=-1, keepdims=True)
     row = x[..., 2 * s : 2 * s + 1]
-    enough = (own > np.where(row > 0, CLEAR_ROW, CLEAR_SCORE)).astype(float)
-    level = enough * (own >= 0.5 * other)
-    parts = [np.ones_like(own), np.clip(own, -2, 4), np.clip(other, -2, 4), np.clip(own - other, -4, 4), np.clip(doc, -2, 4), 3 * enough, 3 * level, x[..., 2 * s :]]
+    bends = [np.clip(own - at, 0, 0.5) for at in BENDS]
+    parts = [np.ones_like(own), np.clip(own, -2, 0), np.clip(own, 0, 4), np.clip(other, -2, 4), np.clip(own - other, -4, 0), np.clip(doc, -2, 4), row * np.clip(own, 0, 1), *bends, x[..., 2 * s :]]
     wide = np.broadcast_to(np.concatenate(parts, axis=-1), (*before.shape[:-1], N_OWN + x.shape[-1] - 2 * s))
     return np.concatenate([wide, before], axis=-1)
 
@@ -256,45 +256,81 @@ def train(texts: list[str], sources: list[str], votes: list[dict[str, float]], s
         if total >= LEAST_COUNT * 0.7 and p.max() >= LEAST_PURITY:
             weights[w] = np.maximum(np.log(np.maximum(p, 0.02) * s) / np.log(max(2, s)), -1.0)
     model = ChainModel(subjects, weights, np.zeros((s, 1)), list(range(s)), 1.0)
-    # the chain learns from units of labelled documents whose best subject their document has, and from silent ones
-    xs, ys = [], []
+    return _learn_chain(model, cut, sources, votes)
+
+
+def _targets(p: np.ndarray, doc: np.ndarray, voted: np.ndarray) -> np.ndarray:
+    """What each unit is about, by Bayes' rule from ``p`` and the votes on its document; a fifth of the units at least for each vote.
+
+    Annotators miss subjects and pass over mere mentions, so a subject without a
+    vote is less likely, but not ruled out.
+    """
+    has = voted > 0
+    caught = (p * has).sum(0) / np.maximum(p.sum(0), 1e-9)  # of units about a subject, how many have its vote
+    chance = ((1 - p) * has).sum(0) / np.maximum((1 - p).sum(0), 1e-9)  # and of the others
+    yes = p * np.where(has, caught, 1 - caught)
+    no = (1 - p) * np.where(has, chance, 1 - chance)
+    y = yes / np.maximum(yes + no, 1e-12)
+    n = np.bincount(doc)
+    for j in range(p.shape[1]):
+        order = np.lexsort((-p[:, j], doc))
+        place = np.empty(len(doc), np.int64)
+        place[order] = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        top = (place < np.ceil(LEAST_SHARE * n[doc])) & has[:, j]
+        y[top, j] = np.maximum(y[top, j], voted[top, j])
+    return y
+
+
+def _learn_chain(model: ChainModel, cut: list[list[tuple[str, str]]], sources: list[str], votes: list[dict[str, float]]) -> ChainModel:
+    """The chain of classifiers, from the annotators' labels.
+
+    A label is of a document, so which of its units are meant is learnt by
+    expectation maximisation over the votes (:func:`_targets`). Every fifth
+    document is held out for the calibration.
+    """
+    s = len(model.subjects)
+    xs, docs, told = [], [], []
     for d, src, v in zip(cut, sources, votes):
-        if not v or not d:
+        own = np.array([v.get(name, 0.0) for name in model.subjects])
+        d = [u for u in d if u[0] != "h"]
+        if not d or not own.any():
             continue
         sc = model.score([t for _, t in d])
-        x = model.features(sc, [k for k, _ in d], source_kind(src), sc.mean(0))
-        y = np.zeros((len(d), s))
-        best = sc.argmax(1)
-        least = np.array([CLEAR_ROW if k == "r" else CLEAR_SCORE for k, _ in d])
-        clear = sc.max(1) > least
-        for i in np.flatnonzero(clear):
-            for j in np.flatnonzero(sc[i] >= max(least[i], 0.5 * sc[i, best[i]])):
-                y[i, j] = 1
-        xs.append(x)
-        ys.append(y)
-        # the same units without their words: nothing said is about nothing, whatever the document
-        mute = x[::3].copy()
-        mute[:, :s] = 0
-        xs.append(mute)
-        ys.append(np.zeros((len(mute), s)))
+        xs.append(model.features(sc, [k for k, _ in d], source_kind(src), sc.mean(0)))
+        docs.append(np.full(len(d), len(docs)))
+        told.append(np.broadcast_to(own / own.max(), sc.shape))
     if not xs:
         model.chain = np.zeros((s, N_OWN + 6 + s))
-        model.chain[:, 0], model.chain[:, 6] = -2.0, 2.0
+        model.chain[:, 0], model.chain[:, 2] = -4.0, 3.0
         return model
-    x, y = np.vstack(xs), np.vstack(ys)
-    model.order = [int(j) for j in np.argsort(-y.sum(0), kind="stable")]
-    held = np.arange(len(x)) % 5 == 0
-    chain, done = [None] * s, np.zeros_like(y)
-    for j in model.order:
-        chain[j] = _logistic(_design(x, done, j, s)[~held], y[~held, j])
-        done[:, j] = y[:, j]
+    x, doc, voted = np.vstack(xs), np.concatenate(docs), np.vstack(told)
+    # the same units without their words: nothing said is about nothing, whatever the document
+    mute = x[::3].copy()
+    mute[:, :s] = 0
+    model.order = [int(j) for j in np.argsort(-voted.sum(0), kind="stable")]
+    held = doc % 5 == 0 if len(docs) >= 10 else np.zeros(len(doc), bool)
+    # at first, a unit shares in a subject by how its terms compare with those for the others
+    rest = np.maximum(x[:, :s], 0)
+    y = _targets(rest / np.maximum(rest.max(1, keepdims=True), 1.0), doc, voted)
+    for _ in range(CHAIN_ROUNDS):
+        before, p = np.zeros_like(y), np.zeros_like(y)
+        chain = [None] * s
+        for j in model.order:
+            design = _design(x, before, j, s)
+            silent = _design(mute, np.zeros((len(mute), s)), j, s)
+            chain[j] = _logistic(np.vstack([design[~held], silent]), np.concatenate([y[~held, j], np.zeros(len(mute))]))
+            p[:, j] = 1 / (1 + np.exp(-np.clip(design @ chain[j], -30, 30)))
+            before[:, j] = y[:, j]
+        y = _targets(p, doc, voted)
     model.chain = np.stack(chain)
+    if not held.any():
+        return model
     loss = {}
     for t in (0.5, 1.0, 1.5, 2.0, 3.0):
         done, total = np.zeros_like(y), 0.0
         for j in model.order:
             z = _design(x, done, j, s)[held] @ model.chain[j] / t
-            total += np.logaddexp(0, np.where(y[held, j] > 0, -z, z)).mean()
+            total += (y[held, j] * np.logaddexp(0, -z) + (1 - y[held, j]) * np.logaddexp(0, z)).mean()
             done[:, j] = y[:, j]
         loss[t] = total
     model.temperature = min(loss, key=loss.get)

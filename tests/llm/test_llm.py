@@ -429,6 +429,31 @@ def test_subjects(spark):
     assert subjects.document_subjects(d, none).count() == 0
 
 
+def test_chain_learns_from_labels():
+    rng = random.Random(11)
+    words = {"sea": ["harbour", "sailor", "anchor", "lighthouse"], "hill": ["summit", "glacier", "climber", "ridge"]}
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    filler = ["".join(rng.choices(syllables, k=3)) for _ in range(4000)]  # too rare to stand for a subject
+    texts, votes, mains = [], [], []
+    for i in range(240):
+        main = rng.choice(["sea", "hill"])
+        # one telling term a sentence
+        texts.append(" ".join(f"{rng.choice(filler)} {rng.choice(words[main])} {rng.choice(filler)} {rng.choice(filler)}.".capitalize() for _ in range(8)))
+        votes.append({main: 1.0} if i % 2 else {})
+        mains.append(main)
+    m = subjects.train(texts, ["x"] * len(texts), votes, ["hill", "sea"])
+    hits = known = 0
+    for t, main in zip(texts, mains):
+        u = subjects.units(t)
+        sc = m.score([x for _, x in u])
+        if (sc.max(1) > 0).mean() < subjects.LEAST_SHARE:  # terms without a weight
+            continue
+        known += 1
+        about = m.decode(m.features(sc, [k for k, _ in u], "x", sc.mean(0)))[0].mean(0)
+        hits += [n for n, share in zip(m.subjects, about) if share >= subjects.LEAST_SHARE] == [main]
+    assert known > 150 and hits >= 0.95 * known
+
+
 @needs_tokenizer
 def test_documents_of_the_smallest_tables_round_trip(spark, data):
     assert QUERIES["p8_round_trip"](spark, data).where("not restored").count() == 0
