@@ -4,14 +4,17 @@ Every member offers a candidate for each field: a vector of qualities (how
 complete, how trustworthy, how well supported, how recent). Candidates that another one of
 the group equals or beats in everything and beats in something are dominated;
 those left are the skyline, from which a lexicographic order of the qualities
-takes one. Members without a usable value lie behind every other layer, so a
-field that is null in the best record is filled from the next layer that has it.
+takes one. Members without a usable value lie behind every other layer. What
+is null in the best record is filled from the first of the successive layers
+(skylines of what the layers before leave) that has a value, field by field.
 Candidates of equal quality are reduced to one before any group is gathered, and
 the skyline is first taken within salted parts of a group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +172,51 @@ def choose(front: DataFrame) -> DataFrame:
     return front.groupBy("group_id", "field").agg(F.min(key).alias("k")).select("group_id", "field", F.col("k.node_id").alias("node_id"))
 
 
+def layers(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``layer``: 1 for the skyline of its group and field, 2 for that of the rest, and so on.
+
+    What is gathered per group and field are its different qualities.
+    """
+    kind = candidates.schema["group_id"].dataType.simpleString()
+    shape = f"group_id {kind}, field string, d1 long, d2 long, d3 long, support long, recency long"
+    distinct = candidates.select("group_id", "field", *(F.col(d).cast("long").alias(d) for d in _DIMS)).distinct()
+
+    def run(t: pa.Table) -> pa.Table:
+        v = np.stack([t.column(d).to_numpy() for d in _DIMS], axis=1)
+        layer = np.zeros(len(v), np.int32)
+        # what dominates a candidate stands before it
+        order = np.lexsort(-v.T[::-1])
+        v = v[order]
+        for i in range(len(v)):
+            layer[i] = 1 + layer[:i][(v[:i] >= v[i]).all(1)].max(initial=0)
+        return t.take(pa.array(order)).append_column("layer", pa.array(layer, pa.int32()))
+
+    found = distinct.groupBy("group_id", "field").applyInArrow(run, shape + ", layer int")
+    return candidates.join(found, ["group_id", "field", *_DIMS])
+
+
+def filled(base: DataFrame, m: DataFrame, candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(group_id, type, attributes, community_id) of each ``base(group_id, record)``.
+
+    What is missing in the record (null, a blank type, no attributes) comes from
+    the first layer that has a value: those of the names, then those of the
+    descriptions of members without a usable name, then members with neither.
+    Within a layer the order is that of :func:`choose`.
+    """
+    values = nodes.select(F.col("id").alias("node_id"), "type", "attributes", "community_id")
+    there = {"type": trimmed(F.col("type")) != "", "attributes": F.size("attributes") > 0, "community_id": F.col("community_id").isNotNull()}
+    own = base.select("group_id", F.col("record").alias("node_id")).join(values, "node_id")
+    lack = own.where(~F.coalesce(there["type"] & there["attributes"] & there["community_id"], F.lit(False))).select("group_id")
+    tier = F.when(F.col("field") == "name", 1).otherwise(2)
+    place = F.struct(tier.alias("tier"), "layer", *((-F.col(d)).alias(d) for d in _DIMS))
+    ranked = layers(candidates.join(lack, "group_id", "left_semi")).groupBy("group_id", "node_id").agg(F.min(place).alias("place"))
+    last = F.struct(F.lit(3).alias("tier"), F.lit(1).alias("layer"), *(F.lit(0).cast("long").alias(d) for d in _DIMS[:3]), (-F.col("support")).cast("long").alias("support"), (-F.col("recency")).cast("long").alias("recency"))
+    every = m.join(lack, "group_id", "left_semi").join(ranked, ["group_id", "node_id"], "left").join(values, "node_id")
+    every = every.select("group_id", F.struct(F.coalesce("place", last).alias("place"), "node_id").alias("place"), *there)
+    first = every.groupBy("group_id").agg(*(F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("place"))).alias(f"{c}_other") for c, ok in there.items()))
+    return own.join(first, "group_id", "left").select("group_id", *(F.when(ok, F.col(c)).otherwise(F.coalesce(f"{c}_other", c)).alias(c) for c, ok in there.items()))
+
+
 def best_values(groups: DataFrame, nodes: DataFrame, extraction: DataFrame | None = None) -> DataFrame:
     """(group_id, field, node_id): whose name and whose description survive.
 
@@ -187,14 +235,18 @@ def survivors(groups: DataFrame, nodes: DataFrame, extraction: DataFrame | None
 
     The best record is the one whose name survives, else the one whose
     description does; groups without any usable value keep their smallest id.
+    Other fields that it lacks are :func:`filled` from further members.
     """
-    picks = stage(best_values(groups, nodes, extraction), "picks")
+    m = stage(members(groups, nodes, extraction), "members")
+    candidates = stage(name_candidates(m).unionByName(description_candidates(m)), "candidates")
+    picks = stage(choose(skyline(candidates)), "picks")
     by = lambda f: picks.where(F.col("field") == f).select("group_id", F.col("node_id").alias(f"{f}_from"))
     every = groups.where("group_id is not null and node_id is not null").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").groupBy("group_id").agg(F.min("node_id").alias("least"), F.countDistinct("node_id").alias("n_members"))
     base = every.join(by("name"), "group_id", "left").join(by("description"), "group_id", "left").withColumn("record", F.coalesce("name_from", "description_from", "least"))
     n1 = nodes.select(F.col("id").alias("name_from"), F.col("name"))
     n2 = nodes.select(F.col("id").alias("description_from"), "description")
-    n3 = nodes.select(F.col("id").alias("record"), "type", "attributes", "community_id")
-    return base.join(n1, "name_from", "left").join(n2, "description_from", "left").join(n3, "record", "left").select(
+    base = stage(base, "records")
+    rest = filled(base, m, candidates, nodes)
+    return base.join(n1, "name_from", "left").join(n2, "description_from", "left").join(rest, "group_id", "left").select(
         "group_id", F.col("record").alias("node_id"), "n_members", "name_from", "name", "description_from", "description", "type", "attributes", "community_id"
     )

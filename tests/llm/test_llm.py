@@ -177,6 +177,37 @@ def test_survivors(spark):
     assert survivors.best_values(pair, two).first().node_id == "a" and survivors.best_values(pair, two, x).first().node_id == "b"
 
 
+def test_missing_fields_come_from_further_layers(spark):
+    shape = "id string, name string, type string, description string, source_chunks array<string>, attributes map<string,string>, community_id int"
+    n = spark.createDataFrame(
+        [
+            ("a", "Gamma Delta Depot", None, None, ["1", "2", "3"], None, None),
+            ("b", "Gamma Delta Depot", "T2", None, ["1", "2"], {}, None),  # second layer
+            ("c", "Gamma Delta Depot", "T3", None, ["1"], {"k": "c"}, None),  # third
+            ("d", "gamma delta depot", "T4", None, ["1"], {"k": "d"}, None),
+            ("e", None, "T5", "Something is said.", ["1"] * 9, {"k": "e"}, 5),
+            ("f", "Omega Depot", " ", None, ["1"], {}, None),
+        ],
+        shape,
+    )
+    g = spark.createDataFrame([(1, x) for x in "abcde"] + [(2, "f")], "group_id long, node_id string")
+    s = {r.group_id: r for r in survivors.survivors(g, n).collect()}
+    assert (s[1].node_id, s[1].type, s[1].attributes, s[1].community_id) == ("a", "T2", {"k": "c"}, 5)
+    assert (s[2].node_id, s[2].type, s[2].attributes, s[2].community_id) == ("f", " ", {}, None)
+    # peeled one after another
+    rng = random.Random(5)
+    rows = [(1, "f", *(rng.randint(0, 4) for _ in range(5)), f"n{i:03d}") for i in range(120)]
+    df = spark.createDataFrame(rows, "group_id int, field string, d1 long, d2 long, d3 long, support long, recency long, node_id string")
+    got = {r.node_id: r.layer for r in survivors.layers(df).collect()}
+    beats = lambda y, x: all(a >= b for a, b in zip(y, x)) and y != x
+    left, k = rows, 0
+    while left:
+        k += 1
+        front = [r for r in left if not any(beats(o[2:7], r[2:7]) for o in left)]
+        assert all(got[r[7]] == k for r in front)
+        left = [r for r in left if r not in front]
+
+
 def test_skyline_is_what_nothing_dominates(spark):
     rng = random.Random(4)
     rows = [(rng.randint(1, 3), "f", *(rng.randint(0, 5) for _ in range(5)), f"n{i:03d}") for i in range(300)]
