@@ -38,6 +38,8 @@ FAILURES = (
     r"[\p{P}\p{S}\p{M}\s]*(please )?try again later[.!]?",
 )
 REPEAT_WITHIN_S = 1.0
+#: Corrected replies keep this distance from questions, so that ids needn't decide.
+_APART_S = 1e-5
 
 
 def bare(c: Column) -> Column:
@@ -97,27 +99,42 @@ def order_keys(rows: DataFrame) -> DataFrame:
 def clock_offsets(rows: DataFrame, most_s: float) -> DataFrame:
     """(cid, offset): seconds to add to the clock of the replies of a conversation.
 
-    With as many questions as replies, the k-th reply gives two constraints on
-    the offset: not before question k, not after question k + 1. The offset of
-    least squared violation that is nearest to none is 0 moved into the interval
-    that all constraints leave; where they leave none, least squares over the two
-    that clash is the middle. Offsets beyond ``most_s``, and those of clashing
-    constraints, aren't applied (no row): the conversation stays as it is.
+    Replies aren't paired with questions: an offset meets all constraints if no
+    reply comes before the first question and some reply, of any number, lies
+    between each question and the next, or after the last. Reply a serves question
+    q with offsets from q - a to next - a, so the offsets without any squared
+    violation are those that an interval of every question covers; of these the
+    one nearest to none is taken. Where none within ``most_s`` is left there is no
+    row, and the conversation stays as it is.
     """
     turns = rows.where("keep and at > 0 and speaker in ('user', 'assistant')")
-    nth = turns.withColumn("k", F.row_number().over(Window.partitionBy("cid", "speaker").orderBy("at", "id")))
-    q = nth.where("speaker = 'user'").select("cid", "k", F.col("at").alias("tq"))
-    a = nth.where("speaker = 'assistant'").select("cid", "k", F.col("at").alias("ta"))
-    both = q.join(a, ["cid", "k"], "full")
-    upper = q.select("cid", (F.col("k") - 1).alias("k"), F.col("tq").alias("next"))
-    b = both.join(upper, ["cid", "k"], "left").groupBy("cid").agg(
-        F.max(F.col("tq") - F.col("ta")).alias("low"),
-        F.min(F.col("next") - F.col("ta")).alias("high"),
-        F.max(F.col("tq").isNull() | F.col("ta").isNull()).alias("uneven"),
-    )
-    move = F.greatest(F.coalesce("low", F.lit(0.0)), F.least(F.lit(0.0), F.coalesce("high", F.lit(0.0))))
-    ok = (~F.col("uneven")) & (F.col("high").isNull() | (F.col("low") <= F.col("high")))
-    return b.where(ok).select("cid", move.alias("offset")).where((F.abs("offset") > 0) & (F.abs("offset") <= most_s))
+    q = turns.where("speaker = 'user'").withColumn("k", F.row_number().over(Window.partitionBy("cid").orderBy("at", "id")))
+    q = q.select("cid", "k", F.col("at").alias("tq"), F.lead("at").over(Window.partitionBy("cid").orderBy("k")).alias("next"))
+    a = turns.where("speaker = 'assistant'").select("cid", F.col("at").alias("ta")).distinct()
+    # the questions a reply can serve: those within reach of it, and the last one before these
+    span, at = 2 * most_s, lambda t: F.floor(t / (2 * most_s))
+    near = a.withColumn("slot", F.explode(F.sequence(at(F.col("ta") - most_s), at(F.col("ta") + most_s)))).join(q.withColumn("slot", at(F.col("tq"))), ["cid", "slot"])
+    near = near.where((F.col("tq") > F.col("ta") - most_s) & (F.col("tq") <= F.col("ta") + most_s)).select("cid", "k", "tq", "next", "ta")
+    line = q.select("cid", F.col("tq").alias("t"), F.struct("k", "tq", "next").alias("q"), F.lit(None).cast("double").alias("ta"))
+    line = line.unionByName(a.select("cid", (F.col("ta") - most_s).alias("t"), F.lit(None).cast(line.schema["q"].dataType).alias("q"), "ta"))
+    earlier = F.last("q", ignorenulls=True).over(Window.partitionBy("cid").orderBy("t", F.col("ta").asc_nulls_first(), "q.k"))
+    before = line.withColumn("q", earlier).where("ta is not null and q is not null").select("cid", "q.k", "q.tq", "q.next", "ta")
+    low, high = F.col("tq") - F.col("ta") + _APART_S, F.coalesce(F.col("next") - F.col("ta") - _APART_S, F.lit(span))
+    serves = near.unionByName(before).select("cid", "k", low.alias("low"), high.alias("high")).where("low <= high")
+    # the intervals of a question, joined where they overlap
+    upto = F.max("high").over(Window.partitionBy("cid", "k").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum("new").over(Window.partitionBy("cid", "k").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0))
+    joined = serves.withColumn("upto", upto).withColumn("new", (F.col("upto").isNull() | (F.col("low") > F.col("upto"))).cast("int")).withColumn("island", island)
+    joined = joined.groupBy("cid", "k", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("cid", "low", "high")
+    ends = q.groupBy("cid").agg(F.min("tq").alias("tq"), F.count("*").alias("n")).join(a.groupBy("cid").agg(F.min("ta").alias("ta")), "cid")
+    joined = joined.unionByName(ends.select("cid", (F.col("tq") - F.col("ta") + _APART_S).alias("low"), F.lit(span).alias("high")).where("low <= high"))
+    # along the offsets, where as many intervals are open as there are constraints
+    steps = joined.select("cid", F.col("low").alias("x"), F.lit(1).alias("d")).unionByName(joined.select("cid", F.col("high").alias("x"), F.lit(-1).alias("d")))
+    along = Window.partitionBy("cid").orderBy("x", F.desc("d"))
+    swept = steps.withColumn("open", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("x").over(along))
+    free = swept.join(ends.select("cid", "n"), "cid").where(F.col("open") == F.col("n") + 1)
+    move = F.greatest("x", F.least(F.lit(0.0), "to"))
+    return free.select("cid", move.alias("offset")).groupBy("cid").agg(F.min_by("offset", F.struct(F.abs("offset"), "offset")).alias("offset")).where((F.abs("offset") > 0) & (F.abs("offset") <= most_s + _APART_S))
 
 
 def in_order(rows: DataFrame, name: str) -> DataFrame:
@@ -169,7 +186,9 @@ def reassemble(messages: DataFrame, max_clock_offset_s: float = 0.0) -> tuple[Da
     """
     rows = stage(order_keys(normalise(messages)), "messages")
     if max_clock_offset_s > 0:
-        move = clock_offsets(rows, max_clock_offset_s)
+        # what is in order as it stands needs none
+        broken = judge(in_order(rows, "as-stamped"), rows.select("cid").distinct()).select("cid")
+        move = clock_offsets(rows.join(broken, "cid", "left_semi"), max_clock_offset_s)
         rows = stage(rows.join(move, "cid", "left").withColumn("at", F.col("at") + F.when(F.col("speaker") == "assistant", F.coalesce("offset", F.lit(0.0))).otherwise(0.0)).drop("offset"), "corrected")
     ordered = in_order(rows, "ordered")
     dropped = stage(judge(ordered, rows.select("cid").distinct()), "dropped")

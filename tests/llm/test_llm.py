@@ -99,6 +99,32 @@ def test_clock_offsets_are_estimated(spark):
     assert dropped.count() == 0 and [r.content for r in turns.orderBy("turn").collect()][:4] == ["q0", "a0", "q1", "a1"]
 
 
+def test_clock_offsets_with_several_replies_to_a_question(spark):
+    rng = random.Random(3)
+    rows, want, broken = [], {}, set()
+    for c in range(60):
+        name, off, t, turns = f"c{c:02d}", rng.choice([-40, -20, 0, 20, 40]), 1e9, []
+        for k in range(rng.randint(1, 5)):
+            t += 100 + rng.random()
+            turns.append(("user", f"q{k}", t, t))
+            for j in range(rng.randint(1, 3)):
+                t += 3 + rng.random()
+                turns.append(("assistant", f"a{k}.{j}", t, t + off))
+        if c % 10 == 9:  # a question that nobody answers
+            turns += [("user", "x", t + 300, t + 300), ("user", "y", t + 600, t + 600)]
+            broken.add(name)
+        want[name] = [x[1] for x in turns]
+        rows += [(1000 * c + i, name, who, text, at, None) for i, (who, text, _, at) in enumerate(turns)]
+    sent, dropped = conversations.reassemble(spark.createDataFrame(rows, SHAPE), max_clock_offset_s=60.0)
+    assert {r.conversation_id for r in dropped.collect()} == broken
+    got = {}
+    for r in sent.orderBy("conversation_id", "turn").collect():
+        got.setdefault(r.conversation_id, []).append(r)
+    for name, turns in got.items():
+        assert sorted(r.content for r in turns) == sorted(want[name]) and turns[0].speaker == "user" and turns[-1].speaker == "assistant"
+        assert not any(x.speaker == y.speaker == "user" for x, y in zip(turns, turns[1:]))
+
+
 # 3
 
 
