@@ -4,36 +4,35 @@ Running headers are the lines that recur over the chunks of a document once page
 numbers, case, accents and look-alike characters are folded away; page numbers
 are the numerals whose distance from the page is the same all over the document.
 What is left is joined across line ends. Misread words are found over the whole
-corpus: skip-gram vectors (shifted pointwise mutual information of a word with
-its hashed neighbours, the optimum that negative sampling tends to) link a rare
-word to a frequent one that differs by plausible glyph edits and that the rare
-word's neighbours predict.
+corpus: every frequent word gets a skip-gram vector (a factorisation of its
+pointwise mutual information with its neighbours, which is the optimum that
+negative sampling tends to), a rare word is linked to the frequent ones that
+plausible glyph edits turn into it, and at each place where it stands the vectors
+of its neighbours decide whether it is one of these or a word of its own.
 """
 
 from __future__ import annotations
 
 import itertools
 import unicodedata
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.scratch import stage
 
 #: A header recurs on this many chunks of its document and this share of them (or, if it looks like a title, on more).
 HEADER_CHUNKS, HEADER_SHARE, TITLE_CHUNKS = 3, 0.3, 5
-LONGEST_HEADER = 100
 #: A word is frequent from this count, and a rare word is at most this fraction of the frequent one.
 FREQUENT, RARER = 5, 8
-CONTEXT_BUCKETS = 4096
-#: Least mean pointwise mutual information of a rare word's neighbours with the frequent word.
-LEAST_LINK = 0.0
-#: Misread letters of a word that are undone at once, and certain signs beyond which it isn't a word.
-LETTER_EDITS, MOST_MARKS = 2, 5
+#: Neighbours on either side that are contexts, buckets of contexts (half of them for each side), and size of the vectors.
+REACH, CONTEXT_BUCKETS, RANK = 2, 1024, 64
+#: Log odds of a misreading before its context is seen: of a word with signs inside, and less for each edit of one without.
+SURE, PER_EDIT = 4.0, 3.0
 
 # What scanning makes of a character, and what it was. Marks and digits inside a word are certain signs.
 GLYPHS = {
@@ -41,8 +40,12 @@ GLYPHS = {
     "0": ("o",), "1": ("l", "i"), "!": ("i", "l"), "|": ("l", "i"), "$": ("s",), "5": ("s",), "@": ("a",), "3": ("e",), "4": ("a",), "6": ("b",), "8": ("b",), "9": ("g",),
 }
 MARKS = "01!|$5@34689"
+#: Letters under which all glyph edits coincide: the words before and after a misreading have the same key.
+_ALIKE = ("ei!|1fq90$5@43", "clllltggossaac")
+_WIDE = (("d", "cl"), ("m", "rn"), ("w", "vv"), ("u", "ll"), ("[hb68]", "ll"))
 _LOOK_ALIKE = str.maketrans({**{k: w[0] for k, w in GLYPHS.items() if len(k) == 1}, "!": "l", "i": "l", "9": "g"})
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!|]+(?:['’-][\p{L}\p{M}\p{N}@$!|]+)*")
+TOKEN = r"[\p{L}\p{M}\p{N}@$!|]+(?:['’-][\p{L}\p{M}\p{N}@$!|]+)*"
+_TOKEN = regex.compile(TOKEN)
 _NUMERAL = r"(?:\d{1,5}|[ivxlc]{1,8})"
 _PAGE = regex.compile(
     rf"[\[\](){{}}—–\-~·•.\s]*(?:(?:page|seite|pagina|página|pág|pag|bladzijde|blz|p|s)\.?\s*)?(?P<n>{_NUMERAL})(?:\s*(?:of|von|di|de|do|da|sur|van|/)\s*\d{{1,5}})?(?:\s*\|\s*\p{{L}}{{1,12}})?[\[\](){{}}—–\-~·•\s]*",
@@ -53,6 +56,7 @@ _HEADING = regex.compile(r"(\d+\.(\d+\.?)*\s|#+\s|[*•>|])")
 _SENTENCE_END = regex.compile(r"[.!?;,:…][\"'”’»)\]]*$")
 _STOP = regex.compile(r"[.!?…:][\"'”’»)\]]*$")
 _TAIL, _FRONT = regex.compile(r"[\p{L}\p{M}@$!|0-9'’-]+$"), regex.compile(r"[\p{L}\p{M}@$!|0-9'’-]+")
+_BARE = regex.compile(r"(?<!\S)[\d\W]+(?!\S)")
 _NUMBERED = regex.compile(r"\d|(?:^|\s)[ivxlcIVXLC]{1,8}(?:\s|$)")
 _BROKEN = regex.compile(r"[\p{L}\p{M}@$!|0-9'’-]*[\p{L}@$!|01]([-‐‑¬­])\s*$")
 
@@ -77,20 +81,29 @@ def page_value(text: str) -> int | None:
     return int(n) if n.isdigit() else roman(n)
 
 
+class _Letters(dict):
+    """Look-alike letters made equal, everything but letters left out."""
+
+    def __missing__(self, c: int) -> str | None:
+        self[c] = x = chr(c) if chr(c).isalpha() else None
+        return x
+
+
+_FOLD = _Letters(_LOOK_ALIKE)
+
+
 def folded(text: str) -> str:
     """Letters only, without case and accents, look-alikes made equal."""
-    t = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    t = " ".join(w for w in t.split() if not regex.fullmatch(r"[\d\W]+", w))
+    t = _BARE.sub(" ", unicodedata.normalize("NFD", text.lower()))
     for seen in ("rn", "cl", "vv"):
         t = t.replace(seen, GLYPHS[seen][0])
-    t = t.translate(_LOOK_ALIKE)
-    return regex.sub(r"[^\p{L}]", "", t)
+    return t.translate(_FOLD)
 
 
 def line_key(line: str) -> tuple[str, list[int]]:
     """(key, numbers) of a line: its folded words, and every number in it that may be the page's."""
     s = line.strip()
-    if not s or len(s) > LONGEST_HEADER:
+    if not s:
         return "-", []
     numbered = _NUMBERED.search(s) is not None
     own = page_value(s) if numbered else None
@@ -139,69 +152,57 @@ def _title_like(line: str) -> bool:
 
 
 def chunks_of(extraction: DataFrame) -> DataFrame:
-    """(chunk_id, document, page, text) once for each chunk; of differing repeats the smallest text."""
+    """(chunk_id, document, page, text) once for each chunk; of differing repeats the smallest text.
+
+    A chunk without a document is one of its own, without a page.
+    """
     rows = extraction.where("chunk_id is not null and chunk_text is not null")
-    return rows.groupBy("chunk_id").agg(F.min(F.struct("document", "page", "chunk_text")).alias("r")).select(
-        "chunk_id", F.coalesce("r.document", F.lit("")).alias("document"), F.col("r.page").alias("page"), F.col("r.chunk_text").alias("text")
-    )
+    once = rows.groupBy("chunk_id").agg(F.min(F.struct("document", "page", "chunk_text")).alias("r"))
+    lone = F.col("r.document").isNull()
+    own = F.when(lone, F.concat(F.lit("\x00"), "chunk_id")).otherwise(F.col("r.document"))
+    return once.select("chunk_id", own.alias("document"), F.when(~lone, F.col("r.page").cast("int")).alias("page"), F.col("r.chunk_text").alias("text"))
+
+
+_MARK = pa.struct([("at", pa.int32()), ("key", pa.string()), ("numbers", pa.list_(pa.int32())), ("title", pa.bool_())])
 
 
-def _lines(chunks: DataFrame) -> DataFrame:
-    """(document, page, chunk_id, key, number, title): the lines that can be furniture."""
+def marked_lines(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``marks``: the place, key and numbers of each line that can be furniture."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for cid, doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                for line in set(text.split("\n")):
+            out = []
+            for text in b.column(3).to_pylist():
+                own = []
+                for at, line in enumerate(text.split("\n")):
                     key, numbers = line_key(line)
                     if key != "-":
-                        rows.append((doc, page, cid, key, numbers[0] if numbers else None, _title_like(line)))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["document", "page", "chunk_id", "key", "number", "title"])
+                        own.append((at, key, numbers, _title_like(line)))
+                out.append([{"at": a, "key": k, "numbers": n, "title": t} for a, k, n, t in own])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(_MARK))], [*b.schema.names, "marks"])
 
-    return chunks.select("chunk_id", "document", F.col("page").cast("int").alias("page"), "text").mapInArrow(run, "document string, page int, chunk_id string, key string, number int, title boolean")
+    shape = "chunk_id string, document string, page int, text string, marks array<struct<at:int,key:string,numbers:array<int>,title:boolean>>"
+    return chunks.select("chunk_id", "document", "page", "text").mapInArrow(run, shape)
 
 
-def furniture(chunks: DataFrame) -> DataFrame:
-    """(document, headers, offset): the header keys of each document, and how far its printed numbers are from its pages."""
-    lines = stage(_lines(chunks), "lines")
-    size = chunks.groupBy("document").agg(F.count("*").alias("n_chunks"))
+def furniture(marked: DataFrame) -> DataFrame:
+    """(chunk_id, gone, header, page_number): the places of the lines that are furniture, and what kinds there are."""
+    lines = marked.select("document", "page", "chunk_id", F.inline("marks"))
+    size = marked.groupBy("document").agg(F.count("*").alias("n_chunks"))
     recur = lines.where("key <> ''").groupBy("document", "key", "chunk_id").agg(F.max("title").alias("title"))
     recur = recur.groupBy("document", "key").agg(F.count("*").alias("n"), F.avg(F.col("title").cast("int")).alias("title"))
     heads = recur.where(F.col("n") >= HEADER_CHUNKS).join(size, "document")
     heads = heads.where((F.col("n") >= HEADER_SHARE * F.col("n_chunks")) | ((F.col("n") >= TITLE_CHUNKS) & (F.col("title") >= 0.5)))
-    # a document has few lines on a large share of its chunks; titles below that share are bounded by n / TITLE_CHUNKS
-    keys = heads.groupBy("document").agg(F.collect_list("key").alias("headers"))
-    apart = lines.where("number is not null and page is not null").join(heads.select("document", "key").withColumn("head", F.lit(1)), ["document", "key"], "left")
-    apart = apart.where("key = '' or head = 1").select("document", (F.col("number") - F.col("page")).alias("offset"), "page", (F.col("key") == "").alias("alone"))
+    heads = stage(heads.select("document", "key", F.lit(True).alias("head")), "headers")
+    either = lines.join(heads, ["document", "key"], "left").where("key = '' or head")
+    either = stage(either.select("document", "page", "chunk_id", "at", (F.col("key") == "").alias("alone"), "numbers"), "furniture")
+    apart = either.where("size(numbers) > 0 and page is not null").select("document", (F.col("numbers")[0] - F.col("page")).alias("offset"), "page", "alone")
     votes = apart.groupBy("document", "offset", "page").agg(F.max("alone").alias("alone")).groupBy("document", "offset").agg(F.count("*").alias("pages"), F.max("alone").alias("alone"))
     best = votes.groupBy("document").agg(F.max(F.struct("pages", "alone", (-F.abs("offset")).alias("near"), "offset")).alias("b"))
     best = best.where("b.pages > 1 or b.alone or b.offset = 0").select("document", F.col("b.offset").alias("offset"))
-    return keys.join(best, "document", "full")
-
-
-def _case_insensitive_words(text: str) -> list[str]:
-    return [t.lower().replace("’", "'") for t in _TOKEN.findall(text)]
-
-
-def strip(text: str, page: int | None, headers: set[str], offset: int | None) -> tuple[list[str], bool, bool]:
-    """(lines of the running text, has a header, has a page number)."""
-    if not headers and offset is None:
-        return text.split("\n"), False, False
-    kept, header, number = [], False, False
-    for line in text.split("\n"):
-        key, numbers = line_key(line)
-        right = offset is not None and page is not None and any(v - page == offset for v in numbers)
-        if key == "" and right:
-            number = True
-        elif key in headers:
-            header = True
-            number = number or right
-        else:
-            kept.append(line)
-    return kept, header, number
+    right = F.coalesce(F.exists("numbers", lambda n: n - F.col("page") == F.col("offset")), F.lit(False))
+    judged = either.join(best, "document", "left").withColumn("right", right).where("right or not alone")
+    return judged.groupBy("chunk_id").agg(F.collect_set("at").alias("gone"), F.max(~F.col("alone")).alias("header"), F.max("right").alias("page_number"))
 
 
 def join_lines(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
@@ -251,129 +252,210 @@ def join_lines(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
     return "\n".join(out), parts
 
 
-def running_text(chunks: DataFrame, furnish: DataFrame) -> DataFrame:
-    """(chunk_id, header, page_number, body, left, right): chunks without furniture, joined, with their divided words."""
+def running_text(marked: DataFrame, furnish: DataFrame) -> DataFrame:
+    """(chunk_id, header, page_number, body, left, right, words): chunks without furniture, joined, with their divided and all their words."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for cid, page, text, heads, offset in zip(*(c.to_pylist() for c in b.columns)):
-                lines, header, number = strip(text, page, set(heads or ()), offset)
-                body, parts = join_lines(lines)
-                rows.append((cid, header, number, body, [a for a, _ in parts], [z for _, z in parts]))
+            for cid, text, gone, header, number in zip(*(c.to_pylist() for c in b.columns)):
+                out = set(gone or ())
+                body, parts = join_lines([line for i, line in enumerate(text.split("\n")) if i not in out])
+                rows.append((cid, bool(header), bool(number), body, [a for a, _ in parts], [z for _, z in parts]))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["chunk_id", "header", "page_number", "body", "left", "right"])
 
-    joined = chunks.join(furnish, "document", "left").select("chunk_id", F.col("page").cast("int").alias("page"), "text", "headers", "offset")
-    return joined.mapInArrow(run, "chunk_id string, header boolean, page_number boolean, body string, left array<string>, right array<string>")
+    joined = marked.join(furnish, "chunk_id", "left").select("chunk_id", "text", "gone", "header", "page_number")
+    bodies = joined.mapInArrow(run, "chunk_id string, header boolean, page_number boolean, body string, left array<string>, right array<string>")
+    whole = F.translate(F.lower(F.replace("body", F.lit("\x01"), F.lit(""))), "’", "'")
+    return bodies.withColumn("words", F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0)))
+
+
+def _beside(codes: Column, i: Column) -> Column:
+    """The context buckets of the word at place ``i``: of the words before it, and of those after it."""
+    half = CONTEXT_BUCKETS // 2
+    before = [F.get(codes, i - k) for k in range(REACH, 0, -1)]
+    after = [F.get(codes, i + k) + half for k in range(1, REACH + 1)]
+    return F.array_compact(F.array(*before, *after))
+
+
+def occurrences(bodies: DataFrame) -> DataFrame:
+    """(chunk_id, at, w, ctx): every word with its place and the context buckets beside it."""
+    coded = bodies.select("chunk_id", "words", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(CONTEXT_BUCKETS // 2)).cast("int")).alias("codes"))
+    each = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w"), _beside(F.col("codes"), i).alias("ctx")))
+    return coded.select("chunk_id", F.inline(each))
+
+
+def vocabulary_of(bodies: DataFrame) -> DataFrame:
+    """(w, n): how often each word is written."""
+    return bodies.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def glyph_edits(before: str, after: str) -> int:
+    """How many misreadings turn one word into the other, -1 if none do; signs inside a word are always misreadings."""
+    best = {(0, 0): 0}
+    for i in range(len(before)):
+        nxt: dict[tuple[int, int], int] = {}
+        for (_, j), n in best.items():
+            if j < len(after) and after[j] == before[i] and after[j] not in MARKS:
+                nxt[i + 1, j + 1] = min(n, nxt.get((i + 1, j + 1), n))
+            for k in (1, 2):
+                if j + k <= len(after) and before[i] in GLYPHS.get(after[j : j + k], ()):
+                    nxt[i + 1, j + k] = min(n + 1, nxt.get((i + 1, j + k), n + 1))
+        best = nxt
+    return best.get((len(before), len(after)), -1)
+
 
+def glyph_key(w: Column) -> Column:
+    """The same for all words that glyph edits may turn into each other."""
+    k = F.translate(w, *_ALIKE)
+    for seen, wide in _WIDE:
+        k = F.regexp_replace(k, seen, wide)
+    return k
 
-def word_contexts(bodies: DataFrame) -> DataFrame:
-    """(w, ctx, n): how often each word stands beside each bucket of neighbours; ctx -1 counts the word itself.
 
-    Counted over all texts; a batch's counts are added up before they leave the task.
+def word_links(vocabulary: DataFrame) -> DataFrame:
+    """(w, n, v, nv, edits, sure): words with the frequent ones that any number of glyph edits turn into them.
+
+    A word with signs inside (``sure``) may be as frequent as what it stands for,
+    another at most an RARER-th of it.
     """
+    keyed = vocabulary.where(F.col("w").rlike(r"\p{L}")).withColumn("k", glyph_key(F.col("w"))).withColumn("sure", F.col("w").rlike("[" + MARKS.replace("|", r"\|") + "]"))
+    known = keyed.where(~F.col("sure") & (F.col("n") >= FREQUENT)).select("k", F.col("w").alias("v"), F.col("n").alias("nv"))
+    pairs = keyed.join(known, "k").where((F.col("w") != F.col("v")) & (F.col("nv") >= F.col("n") * F.when(F.col("sure"), 1).otherwise(RARER)))
 
     def run(batches):
-        memo: dict[str, int] = {}
         for b in batches:
-            count: Counter = Counter()
-            for body in b.column(0).to_pylist():
-                words = _case_insensitive_words((body or "").replace("\x01", ""))
-                codes = []
-                for w in words:
-                    c = memo.get(w)
-                    if c is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        c = memo[w] = zlib.crc32(w.encode()) % (CONTEXT_BUCKETS // 2)
-                    codes.append(c)
-                count.update((w, -1) for w in words)
-                count.update(zip(words[1:], codes))
-                count.update((w, c + CONTEXT_BUCKETS // 2) for w, c in zip(words, codes[1:]))
-            keys = list(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(count.values()), pa.int64())], ["w", "ctx", "n"]
-            )
-
-    return bodies.select("body").mapInArrow(run, "w string, ctx int, n long").groupBy("w", "ctx").agg(F.sum("n").alias("n"))
-
-
-def unread(word: str) -> list[tuple[str, bool]]:
-    """(word before the misreading, whether it has certain signs): every mark undone, and up to LETTER_EDITS letters."""
-    marks: list[tuple[int, int, tuple[str, ...]]] = []
-    letters: list[tuple[int, int, tuple[str, ...]]] = []
-    for i, c in enumerate(word):
-        if c in MARKS:
-            marks.append((i, 1, GLYPHS[c]))
-        else:
-            letters.extend((i, n, GLYPHS[word[i : i + n]]) for n in (2, 1) if word[i : i + n] in GLYPHS and i + n <= len(word))
-    if len(marks) > MOST_MARKS:
-        return []
-    out = set()
-    for k in range(0 if marks else 1, LETTER_EDITS + 1):
-        for some in itertools.combinations(letters, k):
-            places = sorted([*marks, *some])
-            if any(x[0] + x[1] > y[0] for x, y in zip(places, places[1:])):
-                continue
-            for new in itertools.product(*(p[2] for p in places)):
-                t, at = [], 0
-                for (i, n, _), w in zip(places, new):
-                    t += [word[at:i], w]
-                    at = i + n
-                out.add("".join(t) + word[at:])
-    return [(w, bool(marks)) for w in sorted(out)]
-
-
-def word_links(contexts: DataFrame) -> DataFrame:
-    """(w, correct): misread words with the frequent word each stands for."""
-    vocabulary = contexts.where("ctx = -1").select("w", "n")
+            edits = pa.array([glyph_edits(v, w) for w, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist())], pa.int32())
+            t = pa.RecordBatch.from_arrays([*b.columns, edits], ["w", "n", "v", "nv", "sure", "edits"])
+            yield t.filter(pa.compute.greater(edits, 0))
 
-    def run(batches):
+    return pairs.select("w", "n", "v", "nv", "sure").mapInArrow(run, "w string, n long, v string, nv long, sure boolean, edits int")
+
+
+def word_vectors(places: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Vectors (w, vec) of all frequent words, and those of the context buckets.
+
+    The matrix of positive pointwise mutual information between words and buckets
+    is factorised: its square over the buckets is added up over the cluster
+    (CONTEXT_BUCKETS squared numbers, whatever the corpus), its main axes are the
+    vectors of the buckets, and a word's row along these axes is its own. The
+    product of a word's vector with a bucket's is then what of their mutual
+    information is not chance.
+    """
+    pair = places.select("w", F.explode("ctx").alias("ctx")).groupBy("w", "ctx").agg(F.count("*").alias("n"))
+    pair = stage(pair, "contexts")
+    all_n = F.broadcast(pair.groupBy("ctx").agg(F.sum("n").alias("nc")))  # CONTEXT_BUCKETS rows
+    total = pair.agg(F.sum("n")).scalar()
+    frequent = vocabulary.where(F.col("n") >= FREQUENT).select("w")
+    known = pair.join(frequent, "w").withColumn("nw", F.sum("n").over(Window.partitionBy("w")))
+    mutual = F.log(F.col("n") * total / (F.col("nw") * F.col("nc")))
+    row = known.join(all_n, "ctx").where(mutual > 0).groupBy("w").agg(F.collect_list(F.struct("ctx", mutual.cast("float").alias("x"))).alias("row"))
+    rows = stage(row, "mutual")
+
+    def dense(column) -> Iterator[np.ndarray]:
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        starts, inner = lists.offsets.to_numpy(), lists.values
+        ctx, x = inner.field("ctx").to_numpy(), inner.field("x").to_numpy()
+        for lo in range(0, len(lists), 1000):
+            hi = min(len(lists), lo + 1000)
+            m = np.zeros((hi - lo, CONTEXT_BUCKETS), np.float32)
+            own = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+            m[own, ctx[starts[lo] : starts[hi]]] = x[starts[lo] : starts[hi]]
+            yield m
+
+    def square(batches):
+        g = np.zeros((CONTEXT_BUCKETS, CONTEXT_BUCKETS), np.float64)
         for b in batches:
-            rows = []
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if 3 <= len(w) <= 40 and sum(c.isalpha() for c in w) >= 1:
-                    rows.extend((w, n, v, sure) for v, sure in unread(w))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.bool_()])], ["w", "n", "v", "sure"])
-
-    guesses = vocabulary.mapInArrow(run, "w string, n long, v string, sure boolean")
-    known = vocabulary.where(F.col("n") >= FREQUENT).select(F.col("w").alias("v"), F.col("n").alias("nv"))
-    pairs = stage(guesses.join(known, "v").where("nv >= n * if(sure, 1, %d)" % RARER), "guesses")
-    beside = contexts.where("ctx >= 0")
-    all_n = beside.groupBy("ctx").agg(F.sum("n").alias("nc"))
-    total = all_n.agg(F.sum("nc")).scalar()
-    mine = pairs.join(beside.select("w", "ctx", F.col("n").alias("nw")), "w")
-    theirs = beside.select(F.col("w").alias("v"), "ctx", F.col("n").alias("nvc"))
-    both = mine.join(theirs, ["v", "ctx"], "left").join(F.broadcast(all_n), "ctx").withColumn("total", total)  # CONTEXT_BUCKETS rows
-    expected = 2.0 * F.col("nv") * F.col("nc") / F.col("total")
-    pmi = F.log((F.coalesce("nvc", F.lit(0)) + 0.5) / (expected + 0.5))
-    scored = both.groupBy("w", "v", "nv", "sure").agg((F.sum(pmi * F.col("nw")) / F.sum("nw")).alias("score"))
-    good = scored.where(F.col("sure") | (F.col("score") > LEAST_LINK))
-    return good.groupBy("w").agg(F.max(F.struct("score", "nv", "v")).alias("b")).select("w", F.col("b.v").alias("correct"))
-
-
-def chunk_words(bodies: DataFrame) -> DataFrame:
-    """(chunk_id, w): the different words of each running text."""
+            for m in dense(b.column(1)):
+                g += m.T @ m
+        if g.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXT_BUCKETS), pa.int32()), pa.array(list(g.astype(np.float32)), pa.list_(pa.float32()))], ["i", "g"])
+
+    def add(key, t):
+        g = t.column("g").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(0, dtype=np.float64)
+        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([g.astype(np.float32)], pa.list_(pa.float32()))})
+
+    shape = "i int, g array<float>"
+    found = rows.mapInArrow(square, shape).groupBy("i").applyInArrow(add, shape).toArrow()
+    gram = np.zeros((CONTEXT_BUCKETS, CONTEXT_BUCKETS))
+    if found.num_rows:
+        gram[found.column("i").to_numpy()] = found.column("g").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+    axes = main_axes(gram, RANK)
+    held = rows.sparkSession.sparkContext.broadcast(axes.astype(np.float32))  # CONTEXT_BUCKETS x RANK
+
+    def project(batches):
+        for b in batches:
+            vecs = [v for m in dense(b.column(1)) for v in m @ held.value]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vecs, pa.list_(pa.float32()))], ["w", "vec"])
+
+    return rows.mapInArrow(project, "w string, vec array<float>"), axes
+
+
+def main_axes(square: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The ``rank`` main eigenvectors of a symmetric matrix, by subspace iteration."""
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(len(square), rank + 16)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(square @ q)[0]
+    values, turn = np.linalg.eigh(q.T @ square @ q)
+    return q @ turn[:, np.argsort(-values)[:rank]]
+
+
+def log_odds(n: Column, nv: Column, edits: Column, sure: Column, fit: Column, own: Column) -> Column:
+    """Log odds that a word written ``n`` times is a misreading of one written ``nv`` times, at a place of given fit with both."""
+    prior = F.when(sure, SURE).otherwise(-PER_EDIT * edits)
+    return prior + F.log(nv / n) + fit - own
+
+
+def misread(bodies: DataFrame) -> DataFrame:
+    """(chunk_id, at, w, correct): the places of misread words, with what stands there.
+
+    Each place is decided by itself (:func:`log_odds`): the same letters can be a
+    misreading in one context and a word of their own in another.
+    """
+    vocabulary = stage(vocabulary_of(bodies), "vocabulary")
+    links = stage(word_links(vocabulary), "links")
+    places = occurrences(bodies)
+    vectors, axes = word_vectors(places, vocabulary)
+    vectors = stage(vectors.join(links.select(F.col("v").alias("w")).unionByName(links.select("w")).distinct(), "w", "left_semi"), "vectors")
+    held = bodies.sparkSession.sparkContext.broadcast(axes.astype(np.float32))  # CONTEXT_BUCKETS x RANK
 
     def run(batches):
         for b in batches:
-            rows = [(c, w) for c, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in set(_case_insensitive_words((body or "").replace("\x01", ""))) if any(g in w for g in GLYPHS)]
-            cols = list(zip(*rows)) if rows else [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["chunk_id", "w"])
-
-    return bodies.select("chunk_id", "body").mapInArrow(run, "chunk_id string, w string")
+            v, w = (_padded(b.column(i)) for i in (4, 5))
+            fit = np.zeros((b.num_rows, 2))
+            ctx = b.column(3)
+            starts, flat = ctx.offsets.to_numpy(), ctx.values.to_numpy()
+            own = np.repeat(np.arange(b.num_rows), np.diff(starts))
+            c = held.value[flat[starts[0] : starts[-1]]]
+            for k, m in enumerate((v, w)):
+                np.add.at(fit[:, k], own, (m[own] * c).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *b.columns[6:], pa.array(fit[:, 0]), pa.array(fit[:, 1])], ["chunk_id", "at", "w", "v", "n", "nv", "edits", "sure", "fit", "own"])
+
+    here = places.join(links, "w").join(vectors.withColumnsRenamed({"w": "v", "vec": "vec_v"}), "v", "left").join(vectors.withColumnRenamed("vec", "vec_w"), "w", "left")
+    here = here.select("chunk_id", "at", "w", "ctx", "vec_v", "vec_w", "v", "n", "nv", "edits", "sure")
+    scored = here.mapInArrow(run, "chunk_id string, at int, w string, v string, n long, nv long, edits int, sure boolean, fit double, own double")
+    odds = F.round(log_odds(F.col("n"), F.col("nv"), F.col("edits"), F.col("sure"), F.col("fit"), F.col("own")), 3)
+    best = scored.withColumn("odds", odds).where(F.col("odds") > 0).groupBy("chunk_id", "at", "w").agg(F.max(F.struct("odds", "nv", "v")).alias("b"))
+    return best.select("chunk_id", "at", "w", F.col("b.v").alias("correct"))
+
+
+def _padded(column) -> np.ndarray:
+    """Vectors as a matrix, zeros for null ones."""
+    out = np.zeros((len(column), RANK), np.float32)
+    ok = np.asarray(column.is_valid())
+    if ok.any():
+        out[ok] = column.drop_null().flatten().to_numpy().reshape(-1, RANK)
+    return out
 
 
-def divided(bodies: DataFrame, contexts: DataFrame) -> DataFrame:
+def divided(bodies: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(chunk_id, left, right, joined): words divided by a hyphen at a line end; joined tells them from compounds.
 
     A compound is more often written with its hyphen than without one.
     """
     pairs = bodies.select("chunk_id", F.explode(F.arrays_zip("left", "right")).alias("p")).select("chunk_id", "p.left", "p.right")
-    vocabulary = contexts.where("ctx = -1")
     whole = vocabulary.select(F.col("w").alias("whole"), F.col("n").alias("n_whole"))
     dashed = vocabulary.where("w like '%-%'").select(F.col("w").alias("dashed"), F.col("n").alias("n_dashed"))
     named = pairs.withColumn("whole", F.concat("left", "right")).withColumn("dashed", F.concat_ws("-", "left", "right"))
@@ -381,11 +463,10 @@ def divided(bodies: DataFrame, contexts: DataFrame) -> DataFrame:
     return judged.select("chunk_id", "left", "right", (F.coalesce("n_whole", F.lit(0)) >= F.coalesce("n_dashed", F.lit(0))).alias("joined"))
 
 
-def prepare(extraction: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Running texts of all chunks, and word contexts over them."""
-    chunks = stage(chunks_of(extraction), "chunks")
-    bodies = stage(running_text(chunks, furniture(chunks)), "bodies")
-    return bodies, stage(word_contexts(bodies), "contexts")
+def prepare(extraction: DataFrame) -> DataFrame:
+    """Running texts of all chunks."""
+    marked = stage(marked_lines(chunks_of(extraction)), "chunks")
+    return stage(running_text(marked, furniture(marked)), "bodies")
 
 
 def defects(extraction: DataFrame) -> DataFrame:
@@ -394,10 +475,10 @@ def defects(extraction: DataFrame) -> DataFrame:
     Null and empty texts have no defect; repeated rows count once; chunks without
     a document or page can't have page numbers, but the other defects.
     """
-    bodies, contexts = prepare(extraction)
+    bodies = prepare(extraction)
     kinds = [bodies.where(c).select("chunk_id", F.lit(c).alias("defect")) for c in ("header", "page_number")]
-    kinds.append(divided(bodies, contexts).where("joined").select("chunk_id", F.lit("hyphenation").alias("defect")).distinct())
-    kinds.append(chunk_words(bodies).join(word_links(contexts).select("w"), "w").select("chunk_id", F.lit("misread").alias("defect")).distinct())
+    kinds.append(divided(bodies, vocabulary_of(bodies)).where("joined").select("chunk_id", F.lit("hyphenation").alias("defect")).distinct())
+    kinds.append(misread(bodies).select("chunk_id", F.lit("misread").alias("defect")).distinct())
     out = kinds[0]
     for k in kinds[1:]:
         out = out.unionByName(k)
@@ -410,9 +491,9 @@ def repaired(extraction: DataFrame) -> DataFrame:
     The case of a corrected word follows the letters it replaces. Chunks with a
     null id or text are left out; a chunk of furniture only has an empty text.
     """
-    bodies, contexts = prepare(extraction)
-    words = chunk_words(bodies).join(word_links(contexts), "w").groupBy("chunk_id").agg(F.collect_list(F.struct("w", "correct")).alias("fix"))
-    compounds = divided(bodies, contexts).where("not joined and left <> ''").groupBy("chunk_id").agg(F.collect_list(F.concat("left", F.lit("\x01"), "right")).alias("dash"))
+    bodies = prepare(extraction)
+    words = misread(bodies).groupBy("chunk_id").agg(F.collect_list(F.struct("at", "w", "correct")).alias("fix"))
+    compounds = divided(bodies, vocabulary_of(bodies)).where("not joined and left <> ''").groupBy("chunk_id").agg(F.collect_list(F.concat("left", F.lit("\x01"), "right")).alias("dash"))
     joined = bodies.select("chunk_id", "body").join(words, "chunk_id", "left").join(compounds, "chunk_id", "left").select("chunk_id", "body", "fix", "dash")
 
     def run(batches):
@@ -422,11 +503,14 @@ def repaired(extraction: DataFrame) -> DataFrame:
                 for d in dash or ():
                     body = regex.sub(regex.escape(d), lambda m: m[0].replace("\x01", "-"), body, flags=regex.I)
                 body = body.replace("\x01", "")
-                good = {x["w"]: x["correct"] for x in fix or ()}
-
-                def put(m, good=good):
-                    w = good.get(m[0].lower().replace("’", "'"))
-                    return m[0] if w is None else w.upper() if len(w) > 1 and m[0].isupper() else w[:1].upper() + w[1:] if m[0][:1].isupper() else w
+                good = {x["at"]: (x["w"], x["correct"]) for x in fix or ()}
+                place = itertools.count()
+
+                def put(m, good=good, place=place):
+                    seen, w = good.get(next(place), ("", ""))
+                    if not w or m[0].lower().replace("’", "'") != seen:
+                        return m[0]
+                    return w.upper() if len(w) > 1 and m[0].isupper() else w[:1].upper() + w[1:] if m[0][:1].isupper() else w
 
                 out.append(_TOKEN.sub(put, body) if good else body)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["chunk_id", "text"])

@@ -253,6 +253,8 @@ def test_skyline_is_what_nothing_dominates(spark):
 def test_line_keys():
     assert scans.page_value("— 12 —") == 12 and scans.page_value("xiv") == 14 and scans.page_value("Page 3 of 9") == 3 and scans.page_value("s. 7") == 7
     assert scans.page_value("2014.") is None and scans.page_value("iiii") is None and scans.page_value("word") is None
+    long = "The Yearly Report " * 12
+    assert scans.line_key(long)[0] == scans.line_key(long.upper())[0] != "-"  # however long
     a, b = scans.line_key("Kamali Office — Report   [7]"), scans.line_key("[8]  KAMA1I OFFICE — REPORT")
     assert a[0] == b[0] and a[1] == [7] and b[1] == [8]
     assert scans.line_key("4.2 The heading")[0] == "-" and scans.line_key("The text ends here.")[0] == "-"
@@ -276,6 +278,39 @@ def test_scans(spark):
     assert scans.defects(df.where("false")).count() == 0
 
 
+def test_glyph_edits(spark):
+    assert scans.glyph_edits("eat", "cat") == 1 and scans.glyph_edits("cat", "eat") == -1
+    assert scans.glyph_edits("development", "dcvclopmcnt") == 3 and scans.glyph_edits("modern", "rnoclern") == 2 and scans.glyph_edits("is", "1s") == 1
+    words = [("development", "dcvclopmcnt"), ("hill", "liill"), ("hell", "bcll"), ("illicit", "1l!icif"), ("summit", "surnrnit")]
+    for v, w in words:
+        k = spark.createDataFrame([(v, w)], "v string, w string").select(scans.glyph_key(F.col("v")), scans.glyph_key(F.col("w"))).first()
+        assert k[0] == k[1]
+
+
+def test_context_decides_what_is_misread(spark):
+    rng = random.Random(12)
+    who, what, when = ["people", "children", "workers", "guests"], ["bread", "soup", "fruit", "rice"], ["daily", "often", "together", "slowly"]
+    beast, place = ["small", "grey", "sleepy", "old"], ["sofa", "roof", "garden", "barn"]
+    rows = [f"{rng.choice(who)} eat {rng.choice(what)} {rng.choice(when)}." for _ in range(120)]
+    rows += [f"the {beast[i % 4]} cat sleeps on the {place[i % 4]}." for i in range(8)]
+    rows += [f"{who[i]} cat {what[i]} {when[i]}." for i in range(2)]
+    df = spark.createDataFrame([(f"c{i:03d}", f"d{i}", 1, t) for i, t in enumerate(rows)], "chunk_id string, document string, page int, chunk_text string")
+    bodies = scans.prepare(df)
+    assert {(r.chunk_id, r.w, r.correct) for r in scans.misread(bodies).collect()} == {("c128", "cat", "eat"), ("c129", "cat", "eat")}
+    t = {r.chunk_id: r.text for r in scans.repaired(df).collect()}
+    assert t["c128"].startswith("people eat") and " cat " in t["c120"]
+    # without its neighbours a word is decided once for all
+    n = spark.createDataFrame([(10, 120, 1, False, 0.0, 0.0)], "n long, nv long, edits int, sure boolean, fit double, own double")
+    assert n.select(scans.log_odds(*(F.col(c) for c in n.columns))).first()[0] < 0
+
+
+def test_scans_without_a_document_are_apart(spark):
+    line = "Kamali Office Yearly Report"
+    df = spark.createDataFrame([(f"c{i}", None, 1, f"{line}\nThe text of page {i} stands here.") for i in range(6)], "chunk_id string, document string, page int, chunk_text string")
+    assert scans.defects(df).count() == 0
+    assert scans.defects(df.withColumn("document", F.lit("d"))).where("defect = 'header'").count() == 6
+
+
 # 6
 
 
