@@ -234,13 +234,9 @@ def sentences(text: str) -> list[str]:
     return [x.strip() for x in regex.split(r"(?<=[.!?])\s+|\n\s*\n|\s/\s", text.replace("\n", " ") if "\n\n" not in text else text) if x.strip()]
 
 
-def _counted(texts: list[str], most: int) -> dict[str, int]:
+def _counted(texts: list[str]) -> dict[str, int]:
     out: dict[str, int] = {}
-    used = 0
     for t in texts:
-        if used > most:
-            break
-        used += len(t)
         low = t.lower().replace("’", "'")
         for form in {low, plain(low)}:
             for w in _WORD.findall(form):
@@ -254,7 +250,7 @@ def train(samples: list[str]) -> Identifier:
     Every fifth of these is held out, to set the temperature of the confidence
     and the cross-entropy above which a language is rejected.
     """
-    first = Identifier({x: CharModel.train(_counted([SEEDS[x]], 10**6)) for x in LANGUAGES})
+    first = Identifier({x: CharModel.train(_counted([SEEDS[x]])) for x in LANGUAGES})
     found: dict[str, list[str]] = {x: [] for x in LANGUAGES}
     used = dict.fromkeys(LANGUAGES, 0)
     first.scores(sorted({w.lower().replace("’", "'") for t in samples for w in _WORD.findall(t)}))
@@ -273,8 +269,8 @@ def train(samples: list[str]) -> Identifier:
     held = {x: [s for i, s in enumerate(found[x]) if i % 5 == 0] for x in LANGUAGES}
     counts = {}
     for x in LANGUAGES:
-        own = _counted(kept[x], SAMPLE_CHARS)
-        for w, n in _counted([SEEDS[x]] * 3, 10**6).items():
+        own = _counted(kept[x])
+        for w, n in _counted([SEEDS[x]] * 3).items():
             own[w] = own.get(w, 0) + n
         counts[x] = own
     final = Identifier({x: CharModel.train(counts[x]) for x in LANGUAGES})

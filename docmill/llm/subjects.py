@@ -1,21 +1,23 @@
 """Problem 10: the subjects of each document, by classifier chains over its sentences and table rows.
 
 A document is cut into units: sentences, list items and table rows. Term weights
-per subject are learnt from the labelled documents and, by expectation
-maximisation over units, from unlabelled ones beside them, so that a term that is
-never labelled gets its subject from the company it keeps, in any language. On
-top stands a chain of logistic classifiers, one a subject, over term scores,
-source and structure, each seeing the decisions before it, so that subjects that
-occur together support each other. A beam search over the chain gives the most
-probable combination for each unit, with calibrated probabilities; a document is
-about the subjects of at least a fifth of its units.
+per subject are learnt from labelled documents by expectation maximisation over
+their units, so that a term gets its subject from the company it keeps, in any
+language. On top stands a chain of logistic classifiers, one a subject, over term
+scores, source and structure, each seeing the decisions before it, so that
+subjects that occur together support each other. A beam search over the chain
+gives the most probable combination for each unit, with calibrated probabilities;
+a document is about the subjects of at least a fifth of its units. Only labelled
+documents are learnt from, up to a bound; they are cut and counted on the cluster.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 
 from docmill.llm.language import LANGUAGES, CharModel, Identifier, _counted
 from docmill.llm.seeds import SEEDS
+from docmill.scratch import stage
 
-#: Bounds of the sample that the classifier is fitted on, in documents.
-LABELLED_ROWS, UNLABELLED_ROWS = 6_000, 4_000
+#: Bounds of the sample of labelled documents that the classifier is fitted on: documents (by hash of the id), and characters.
+LABELLED_ROWS, LABELLED_CHARS = 10_000, 30_000_000
+MOST_SUBJECTS = 1_000
 LEAST_SHARE = 0.2
 EM_ROUNDS = 12
 BEAM = 4
@@ -37,6 +41,9 @@ LEAST_PURITY, LEAST_COUNT = 0.6, 3
 BENDS = (0.25, 0.75, 1.25, 1.75)
 CHAIN_ROUNDS = 5
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]+")
+_LONG = re.compile(r"[^\W\d_]{3,}")
+_STOP = re.compile(r"[.!?…][\"'”’»)\]]*\s+")
+_LAST = re.compile(r"[.!?…][\"'”’»)\]]*$")
 N_OWN = 7 + len(BENDS)
 _RULE = regex.compile(r"\|?[\s:|\-=]+\|?")
 _MARKER = regex.compile(r"^\s*(?:[-*•>]\s+|\d+[.)]\s+|[QAFRPD]\s?:\s+)")
@@ -49,8 +56,13 @@ def units(text: str) -> list[tuple[str, str]]:
 
     def flush() -> None:
         nonlocal held
-        if held.strip():
-            out.extend(("s", p) for p in regex.split(r"(?<=[.!?…][\"'”’»)\]]*)\s+", held.strip()) if _WORD.search(p))
+        whole, at = held.strip(), 0
+        for m in _STOP.finditer(whole):
+            if _WORD.search(whole, at, m.end()):
+                out.append(("s", whole[at : m.end()].rstrip()))
+            at = m.end()
+        if _WORD.search(whole, at):
+            out.append(("s", whole[at:]))
         held = ""
 
     lines = text.split("\n")
@@ -76,18 +88,30 @@ def units(text: str) -> list[tuple[str, str]]:
             out.extend(("i", p) for p in parts)
         else:
             held = f"{held} {s}" if held else s
-            if regex.search(r"[.!?…][\"'”’»)\]]*$", s):
+            if _LAST.search(s):
                 flush()
     flush()
     return out
 
 
+class _Plain(dict):
+    """Characters without their accents, once these stand apart."""
+
+    def __missing__(self, c: int) -> str | None:
+        self[c] = x = None if unicodedata.combining(chr(c)) else chr(c)
+        return x
+
+
+_PLAIN = _Plain()
+
+
 def terms(text: str) -> list[str]:
     """Words of three letters or more without case and accents, and pairs of neighbours."""
-    t = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    words = _WORD.findall(t)
-    long = [w for w in words if len(w) >= 3]
-    return list(dict.fromkeys(long + [f"{a} {b}" for a, b in zip(long, long[1:])]))
+    t = text.lower()
+    if not t.isascii():
+        t = unicodedata.normalize("NFD", t).translate(_PLAIN)
+    words = _LONG.findall(t)
+    return list(dict.fromkeys([*words, *map(" ".join, zip(words, words[1:]))]))
 
 
 def source_kind(source: str | None) -> str:
@@ -97,7 +121,8 @@ def source_kind(source: str | None) -> str:
 @dataclass
 class ChainModel:
     subjects: list[str]
-    weights: dict[str, np.ndarray]  # of each telling term, per subject
+    weights: dict[str, int]  # place of each telling term
+    table: np.ndarray  # weights of these terms, per subject
     chain: np.ndarray  # per subject: bias and features
     order: list[int]
     temperature: float
@@ -113,11 +138,19 @@ class ChainModel:
         return np.hstack([scores, np.broadcast_to(doc, scores.shape), kind, src])
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.subjects)))
+        get, places, size = self.weights.get, [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            rows = [self.weights[w] for w in terms(t) if w in self.weights]
-            if rows:
-                out[i] = np.sum(rows, axis=0)
+            own = [k for w in terms(t) if (k := get(w)) is not None]
+            places += own
+            size[i] = len(own)
+        return self.summed(np.array(places, np.int64), size)
+
+    def summed(self, places: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores of units of ``size`` telling terms each, which stand at ``places`` one after the other."""
+        out = np.zeros((len(size), len(self.subjects)))
+        some = size > 0
+        if some.any():
+            out[some] = np.add.reduceat(self.table[places], (np.cumsum(size) - size)[some], axis=0)
         return np.clip(out, -6, 12)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,21 +182,35 @@ def _design(x: np.ndarray, before: np.ndarray, j: int, s: int) -> np.ndarray:
     return np.concatenate([wide, before], axis=-1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Newton's method with a ridge."""
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + penalty * w
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _learn_terms(docs: list[list[list[int]]], prior: np.ndarray, tongue: np.ndarray, n_terms: int) -> np.ndarray:
+@dataclass
+class Learnt:
+    """Documents to learn from, cut into units and these into numbered terms, one after the other."""
+
+    flat: np.ndarray  # number of each term of each unit
+    per_unit: np.ndarray  # terms of each unit
+    unit_doc: np.ndarray  # document of each unit
+    kinds: list[str]  # of each unit
+    tongue: np.ndarray  # language of each document
+    sources: list[str]
+    votes: list[dict[str, float]]
+    names: list[str] = field(default_factory=list)  # of each number
+
+
+def _learn_terms(d: Learnt, prior: np.ndarray) -> np.ndarray:
     """Share of each subject in the occurrences of each term, then its number of occurrences.
 
     Expectation maximisation over units. A unit's terms are counted towards the
@@ -172,10 +219,8 @@ def _learn_terms(docs: list[list[list[int]]], prior: np.ndarray, tongue: np.ndar
     shares are compared with those of the unit's language, so that the common
     words of a language don't stand for the subject it is mostly used for.
     """
-    s = prior.shape[1]
-    flat = np.fromiter((t for d in docs for u in d for t in u), np.int32)
-    per_unit = np.array([len(u) for d in docs for u in d], np.int64)
-    unit_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    s, n_terms = prior.shape[1], max(1, len(d.names))
+    flat, per_unit, unit_doc, tongue = d.flat, d.per_unit, d.unit_doc, d.tongue
     if not len(flat):
         return np.zeros((n_terms, s + 1))
     full = per_unit > 0
@@ -193,7 +238,7 @@ def _learn_terms(docs: list[list[list[int]]], prior: np.ndarray, tongue: np.ndar
     for k in range(EM_ROUNDS):
         rest = prior.copy()
         for j in range(s):
-            rest[:, j] += np.bincount(unit_doc, weights=post[:, j], minlength=len(docs))
+            rest[:, j] += np.bincount(unit_doc, weights=post[:, j], minlength=len(prior))
         rest = rest[unit_doc] - post
         total = rest.sum(1, keepdims=True)
         belief = rest / total
@@ -227,36 +272,59 @@ def _learn_terms(docs: list[list[list[int]]], prior: np.ndarray, tongue: np.ndar
     return share
 
 
+@lru_cache(maxsize=1)
+def _ears() -> Identifier:
+    return Identifier({x: CharModel.train(_counted([SEEDS[x]])) for x in LANGUAGES})
+
+
+def _cut(text: str) -> tuple[list[str], list[list[str]], int]:
+    """(kind of each unit, its terms, language of the text)."""
+    d = units(text)
+    words = [w.lower() for w in _WORD.findall(text)]
+    return [k for k, _ in d], [terms(t) for _, t in d], int(_ears().scores(words).sum(0).argmax()) if words else 0
+
+
+def _numbered(kinds: list[list[str]], sizes: list[list[int]], words: pa.Array, tongue: list[int], sources: list[str], votes: list[dict[str, float]]) -> Learnt:
+    """Terms that occur in LEAST_COUNT documents get numbers, others are left out."""
+    coded = words.dictionary_encode()
+    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.array([n for d in sizes for n in d], np.int64)
+    unit_doc = np.repeat(np.arange(len(sizes)), [len(d) for d in sizes])
+    owner = np.repeat(np.arange(len(size)), size)
+    once = np.unique(unit_doc[owner] * max(1, len(names)) + code) % max(1, len(names)) if len(code) else code
+    often = np.bincount(once, minlength=len(names)) >= LEAST_COUNT
+    kept = often[code] if len(code) else np.zeros(0, bool)
+    number = np.cumsum(often) - 1
+    flat = number[code[kept]] if len(code) else code
+    per_unit = np.bincount(owner[kept], minlength=len(size)) if len(code) else size
+    return Learnt(flat, per_unit, unit_doc, [k for d in kinds for k in d], np.array(tongue, np.int64), sources, votes, [n for n, ok in zip(names, often) if ok])
+
+
 def train(texts: list[str], sources: list[str], votes: list[dict[str, float]], subjects: list[str]) -> ChainModel:
     """Fit on documents with their votes per subject (empty for unlabelled ones)."""
+    cut = [_cut(t) for t in texts]
+    words = pa.array([w for _, d, _ in cut for u in d for w in u], pa.string())
+    return learn(_numbered([k for k, _, _ in cut], [[len(u) for u in d] for _, d, _ in cut], words, [x for _, _, x in cut], sources, votes), subjects)
+
+
+def learn(d: Learnt, subjects: list[str]) -> ChainModel:
     s = len(subjects)
     if not s:
-        return ChainModel([], {}, np.zeros((0, N_OWN + 6)), [], 1.0)
-    cut = [[u for u in units(t)] for t in texts]
-    number: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    for d in cut:
-        for w in {w for _, t in d for w in terms(t)}:
-            seen[w] = seen.get(w, 0) + 1
-    docs = []
-    for d in cut:
-        docs.append([[number.setdefault(w, len(number)) for w in terms(t) if seen[w] >= LEAST_COUNT] for _, t in d])
-    prior = np.full((len(texts), s), 0.5 / s)
-    for i, v in enumerate(votes):
+        return ChainModel([], {}, np.zeros((0, 0)), np.zeros((0, N_OWN + 6)), [], 1.0)
+    prior = np.full((len(d.votes), s), 0.5 / s)
+    for i, v in enumerate(d.votes):
         for name, n in v.items():
             if name in subjects:
                 prior[i, subjects.index(name)] += 2.0 * n
-    ears = Identifier({x: CharModel.train(_counted([SEEDS[x]], 10**6)) for x in LANGUAGES})
-    tongue = np.array([int(ears.scores([w.lower() for w in _WORD.findall(t)[:80]]).sum(0).argmax()) if _WORD.search(t) else 0 for t in texts] or [0])
-    learnt = _learn_terms(docs, prior, tongue, max(1, len(number)))
-    weights = {}
-    for w, k in number.items():
-        p, total = learnt[k, :s], learnt[k, s]
-        # common words of all subjects have no purity; rare ones no weight
-        if total >= LEAST_COUNT * 0.7 and p.max() >= LEAST_PURITY:
-            weights[w] = np.maximum(np.log(np.maximum(p, 0.02) * s) / np.log(max(2, s)), -1.0)
-    model = ChainModel(subjects, weights, np.zeros((s, 1)), list(range(s)), 1.0)
-    return _learn_chain(model, cut, sources, votes)
+    learnt = _learn_terms(d, prior)
+    p, total = learnt[:, :s], learnt[:, s]
+    # common words of all subjects have no purity; rare ones no weight
+    telling = np.flatnonzero((total >= LEAST_COUNT * 0.7) & (p.max(1) >= LEAST_PURITY))
+    table = np.maximum(np.log(np.maximum(p[telling], 0.02) * s) / np.log(max(2, s)), -1.0)
+    model = ChainModel(subjects, {d.names[k]: i for i, k in enumerate(telling)} if d.names else {}, table, np.zeros((s, 1)), list(range(s)), 1.0)
+    place = np.full(max(1, len(d.names)), -1)
+    place[telling] = np.arange(len(telling))
+    return _learn_chain(model, d, place)
 
 
 def _targets(p: np.ndarray, doc: np.ndarray, voted: np.ndarray) -> np.ndarray:
@@ -281,23 +349,30 @@ def _targets(p: np.ndarray, doc: np.ndarray, voted: np.ndarray) -> np.ndarray:
     return y
 
 
-def _learn_chain(model: ChainModel, cut: list[list[tuple[str, str]]], sources: list[str], votes: list[dict[str, float]]) -> ChainModel:
-    """The chain of classifiers, from the annotators' labels.
+def _learn_chain(model: ChainModel, d: Learnt, place: np.ndarray) -> ChainModel:
+    """The chain of classifiers, from the annotators' labels; ``place`` is that of each term in the model's table.
 
     A label is of a document, so which of its units are meant is learnt by
     expectation maximisation over the votes (:func:`_targets`). Every fifth
     document is held out for the calibration.
     """
     s = len(model.subjects)
+    at = place[d.flat] if len(d.flat) else d.flat
+    owner = np.repeat(np.arange(len(d.per_unit)), d.per_unit)
+    told_any = at >= 0
+    score = model.summed(at[told_any], np.bincount(owner[told_any], minlength=len(d.per_unit)))
+    body = np.array([k != "h" for k in d.kinds], bool)
     xs, docs, told = [], [], []
-    for d, src, v in zip(cut, sources, votes):
+    ends = np.cumsum(np.bincount(d.unit_doc, minlength=len(d.votes)))
+    for i, (v, hi) in enumerate(zip(d.votes, ends)):
+        lo = ends[i - 1] if i else 0
         own = np.array([v.get(name, 0.0) for name in model.subjects])
-        d = [u for u in d if u[0] != "h"]
-        if not d or not own.any():
+        rows = np.flatnonzero(body[lo:hi]) + lo
+        if not len(rows) or not own.any():
             continue
-        sc = model.score([t for _, t in d])
-        xs.append(model.features(sc, [k for k, _ in d], source_kind(src), sc.mean(0)))
-        docs.append(np.full(len(d), len(docs)))
+        sc = score[rows]
+        xs.append(model.features(sc, [d.kinds[r] for r in rows], source_kind(d.sources[i]), sc.mean(0)))
+        docs.append(np.full(len(rows), len(docs)))
         told.append(np.broadcast_to(own / own.max(), sc.shape))
     if not xs:
         model.chain = np.zeros((s, N_OWN + 6 + s))
@@ -312,13 +387,13 @@ def _learn_chain(model: ChainModel, cut: list[list[tuple[str, str]]], sources: l
     # at first, a unit shares in a subject by how its terms compare with those for the others
     rest = np.maximum(x[:, :s], 0)
     y = _targets(rest / np.maximum(rest.max(1, keepdims=True), 1.0), doc, voted)
+    chain: list[np.ndarray | None] = [None] * s
     for _ in range(CHAIN_ROUNDS):
         before, p = np.zeros_like(y), np.zeros_like(y)
-        chain = [None] * s
         for j in model.order:
             design = _design(x, before, j, s)
             silent = _design(mute, np.zeros((len(mute), s)), j, s)
-            chain[j] = _logistic(np.vstack([design[~held], silent]), np.concatenate([y[~held, j], np.zeros(len(mute))]))
+            chain[j] = _logistic(np.vstack([design[~held], silent]), np.concatenate([y[~held, j], np.zeros(len(mute))]), chain[j])
             p[:, j] = 1 / (1 + np.exp(-np.clip(design @ chain[j], -30, 30)))
             before[:, j] = y[:, j]
         y = _targets(p, doc, voted)
@@ -338,21 +413,32 @@ def _learn_chain(model: ChainModel, cut: list[list[tuple[str, str]]], sources: l
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> ChainModel:
-    """Train on bounded samples of labelled and unlabelled documents, taken by hash of the id."""
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(1000).collect())
+    """Train on the labelled documents, up to LABELLED_ROWS of them and LABELLED_CHARS characters, taken by hash of the id."""
+    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"a chain is meant for {MOST_SUBJECTS} subjects at most")
     votes = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject", "annotator").distinct()
-    votes = votes.groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
-    texts = documents.where("text is not null and length(text) between 20 and 60000").select("doc_id", "text", "source")
-    part = lambda df, n, most: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / max(1, n))))
-    ids = votes.select("doc_id").distinct()
-    known = part(ids, ids.count(), LABELLED_ROWS)
-    own = texts.join(known, "doc_id").join(votes, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("source").alias("source"), F.collect_list(F.struct("subject", "n")).alias("v"))
-    labelled = own.toArrow().to_pandas().sort_values("doc_id")
-    rest = part(texts, texts.count(), UNLABELLED_ROWS).join(ids, "doc_id", "left_anti").toArrow().to_pandas().sort_values("doc_id")
-    all_texts = [*labelled.text, *rest.text]
-    all_sources = [*labelled.source, *rest.source]
-    all_votes = [{x["subject"]: float(x["n"]) for x in v} for v in labelled.v] + [{}] * len(rest)
-    return train(all_texts, all_sources, all_votes, names)
+    votes = votes.groupBy("doc_id", "subject").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("subject", "n")).alias("v"))
+    texts = documents.where("text is not null").select("doc_id", "text", "source")
+    # of repeated ids one row counts
+    known = texts.join(votes, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("d"), F.first("v").alias("v"))
+    known = stage(known.select("doc_id", "d.*", "v"), "labelled")
+    size = known.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
+    share = min(1.0, LABELLED_ROWS / max(1, size["n"]), LABELLED_CHARS / max(1, size["c"] or 0))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share))
+
+    def run(batches):
+        for b in batches:
+            cut = [_cut(t) for t in b.column(1).to_pylist()]
+            new = [pa.array([k for k, _, _ in cut], pa.list_(pa.string())), pa.array([[len(u) for u in d] for _, d, _ in cut], pa.list_(pa.int32()))]
+            new += [pa.array([[w for u in d for w in u] for _, d, _ in cut], pa.list_(pa.string())), pa.array([x for _, _, x in cut], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *new], ["doc_id", "source", "v", "kinds", "sizes", "words", "tongue"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    own = sample.select("doc_id", "text", "source", "v").mapInArrow(run, f"doc_id {kind}, source string, v array<struct<subject:string,n:long>>, kinds array<string>, sizes array<int>, words array<string>, tongue int")
+    t = own.toArrow().sort_by("doc_id")  # bounded by LABELLED_ROWS and LABELLED_CHARS
+    votes_of = [{x["subject"]: float(x["n"]) for x in v} for v in t.column("v").to_pylist()]
+    return learn(_numbered(t.column("kinds").to_pylist(), t.column("sizes").to_pylist(), t.column("words").combine_chunks().flatten(), t.column("tongue").to_pylist(), t.column("source").to_pylist(), votes_of), names)
 
 
 def unit_shares(documents: DataFrame, model: ChainModel) -> DataFrame:
