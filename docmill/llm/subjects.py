@@ -182,16 +182,16 @@ def _design(x: np.ndarray, before: np.ndarray, j: int, s: int) -> np.ndarray:
     return np.concatenate([wide, before], axis=-1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Newton's method with a ridge."""
-    w = np.zeros(x.shape[1]) if start is None else start
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Newton's method with a ridge, from zero: from weights of full decisions its steps overshoot."""
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + penalty * w
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -261,14 +261,17 @@ def _learn_terms(d: Learnt, prior: np.ndarray) -> np.ndarray:
         # a term tells something if one subject stands out, by far or beyond chance
         beyond = ((share - base[of]) / np.sqrt(base[of])).max(1) * np.sqrt(seen[:, 0])
         best = ratio.max(1) / np.maximum(np.log(1 / base[of, ratio.argmax(1)]), 1e-9)  # of what is possible
-        telling = (best > 0.65) | ((best > 0.34) & (beyond > 3.3))
+        telling = (best > 0.65) | ((best > 0.34) & (beyond > 2.6))
         ratio = np.where(telling[:, None], ratio, 0.0)
-        z = np.zeros((len(per_unit), s))
+        part = ratio / np.maximum(np.log(1 / base[of]), 1e-9)  # a subject that is common anyway can't be told by much
+        z, said = np.zeros((len(per_unit), s)), np.zeros((len(per_unit), s))
         for j in range(s):
             z[full, j] = np.add.reduceat(ratio[flat, j], starts)
-        clear = np.clip((z.max(1) - 0.5) / 1.5, 0, 1)
-        post = np.exp(z - z.max(1, keepdims=True))
-        post *= (clear / post.sum(1))[:, None]
+            said[full, j] = np.add.reduceat(part[flat, j], starts)
+        clear = np.clip((said.max(1) - 0.25) / 0.7, 0, 1)
+        new = np.exp(z - z.max(1, keepdims=True))
+        new *= (clear / new.sum(1))[:, None]
+        post = new if k == 0 else (post + new) / 2  # two readings of few documents may else alternate
     return share
 
 
@@ -393,7 +396,7 @@ def _learn_chain(model: ChainModel, d: Learnt, place: np.ndarray) -> ChainModel:
         for j in model.order:
             design = _design(x, before, j, s)
             silent = _design(mute, np.zeros((len(mute), s)), j, s)
-            chain[j] = _logistic(np.vstack([design[~held], silent]), np.concatenate([y[~held, j], np.zeros(len(mute))]), chain[j])
+            chain[j] = _logistic(np.vstack([design[~held], silent]), np.concatenate([y[~held, j], np.zeros(len(mute))]))
             p[:, j] = 1 / (1 + np.exp(-np.clip(design @ chain[j], -30, 30)))
             before[:, j] = y[:, j]
         y = _targets(p, doc, voted)
