@@ -106,27 +106,28 @@ d AS (SELECT c.cid AS conversation_id, CASE WHEN unknown IS NULL THEN 'nothing s
 
 @query("p2_found", _DROPPED_SQL + "SELECT conversation_id FROM d WHERE reason IS NOT NULL")
 def p2_found(read):
-    return conversations.reassemble(read("messages"))[1].select("conversation_id")
+    return conversations.reassemble(read("messages"), set_clocks=True)[1].select("conversation_id")
 
 
 @query("p2_dropped", _DROPPED_SQL + "SELECT conversation_id, reason FROM d WHERE reason IS NOT NULL")
 def p2_dropped(read):
-    return conversations.reassemble(read("messages"))[1]
+    return conversations.reassemble(read("messages"), set_clocks=True)[1]
 
 
 @query("p2_conversations")
 def p2_conversations(read):
-    return conversations.reassemble(read("messages"))[0]
+    return conversations.reassemble(read("messages"), set_clocks=True)[0]
 
 
 @query("p2_clock_corrected")
 def p2_clock_corrected(read):
-    return conversations.reassemble(read("messages"), max_clock_offset_s=120.0)[0]
+    return conversations.reassemble(read("messages"), max_clock_offset_s=120.0, set_clocks=True)[0]
 
 
 def _language_rows(read):
     rows = stage(language.records(read("extraction_results"), read("benchmark_queries"), read("domain_configs")), "records")
-    return rows, language.fit(read("documents").select("text"), rows.select("text"))
+    labelled = read("documents").select("text", language.declared(F.col("lang")).alias("label"))
+    return rows, language.fit(labelled.unionByName(rows.select("text", F.col("declared").alias("label"))))
 
 
 @query("p3_found")

@@ -1,16 +1,20 @@
 """Problem 2: conversations from message rows, and the conversations to be dropped.
 
 Rows are normalised (spelling of ids and roles, unit of the clock, blanks,
-failure notices, repeated deliveries), put in order, and each conversation is
-judged by its reply-before constraints: every question stands before a reply,
-and that reply before the next question. Order and judgement are computed over
-range partitions, so one conversation may spread over many tasks: a partition
-gives a summary of its stretch (first and last speaker, whether a question was
-left open), and summaries are chained in order.
+failure notices, repeated deliveries). The clock of each kind of sender is set
+right by least squares over the constraints that arrival gives: a reply that
+arrives between two questions lies between them in time. Then the messages are
+put in order, and each conversation is judged by its reply-before constraints:
+every question stands before a reply, and that reply before the next question.
+Order and judgement are computed over range partitions, so one conversation may
+spread over many tasks: a partition gives a summary of its stretch (first and
+last speaker, whether a question was left open), and summaries are chained in
+order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,13 @@ FAILURES = (
 REPEAT_WITHIN_S = 1.0
 #: Corrected replies keep this distance from questions, so that ids needn't decide.
 _APART_S = 1e-5
+#: Offsets of a sender's clock that are looked for, in seconds; a violation counts up to CLOCK_CAP_S.
+CLOCK_REACH_S, CLOCK_CAP_S = 120, 60
+#: A clock is set only if that takes away this share of the squared violations, and as it stands it violates this share
+#: of its constraints: other violations don't come from the clock.
+CLOCK_GAIN, CLOCK_SHARE = 0.5, 0.4
+#: Messages whose ids lie within this many of each other are neighbours by arrival.
+_ARRIVAL_BLOCK = 1_000_000
 
 
 def bare(c: Column) -> Column:
@@ -66,7 +77,7 @@ def is_failure(text: Column) -> Column:
 
 
 def normalise(messages: DataFrame) -> DataFrame:
-    """(cid, id, speaker, content, ts, keep): rows with a conversation; keep marks those that can be turns.
+    """(cid, id, speaker, sender, content, ts, keep): rows with a conversation; keep marks those that can be turns.
 
     Repeated deliveries and repeats within a second are removed: of the rows with
     the same speaker and content, those with an id that came already or a time
@@ -77,6 +88,7 @@ def normalise(messages: DataFrame) -> DataFrame:
         F.lower(bare(F.col("conversation_id"))).alias("cid"),
         "id",
         speaker(F.col("role")).alias("speaker"),
+        F.lower(bare(F.col("role"))).alias("sender"),
         text.alias("content"),
         seconds(F.col("timestamp")).alias("ts"),
     ).where("cid <> ''")
@@ -87,7 +99,78 @@ def normalise(messages: DataFrame) -> DataFrame:
     gap = F.col("ts") - F.lag("ts").over(same_text)
     m = m.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > REPEAT_WITHIN_S + 1e-4))
     turn = (F.col("content") != "") & (F.col("speaker") != "side") & ~((F.col("speaker") == "assistant") & is_failure(F.col("content")))
-    return m.select("cid", "id", "speaker", "content", "ts", turn.alias("keep"))
+    return m.select("cid", "id", "speaker", "sender", "content", "ts", turn.alias("keep"))
+
+
+def arrival_constraints(rows: DataFrame) -> DataFrame:
+    """(sender, low, high): between which offsets of its sender's clock a reply lies where it arrived.
+
+    Neighbours by id (which numbers arrivals) are compared, so a reply after a
+    question gives a lower bound and one before a question an upper bound.
+    """
+    kept = rows.where("keep and ts is not null and id is not null and speaker in ('user', 'assistant')")
+    block = F.floor(F.col("id").cast("double") / _ARRIVAL_BLOCK)
+    w = Window.partitionBy("cid", block).orderBy("id")
+    of = lambda f: F.when(f("speaker").over(w) == "user", f("ts").over(w))
+    near = kept.select("speaker", "sender", "ts", of(F.lag).alias("before"), of(F.lead).alias("after")).where("speaker = 'assistant'")
+    return near.select("sender", (F.col("before") - F.col("ts")).alias("low"), (F.col("after") - F.col("ts")).alias("high")).where("low is not null or high is not null")
+
+
+def sender_offsets(constraints: DataFrame, reach: int = CLOCK_REACH_S, cap: int = CLOCK_CAP_S) -> dict[str, float]:
+    """Seconds to add to the clock of each sender, by least squares over its ``constraints(sender, low, high)``.
+
+    What an offset violates is squared, up to ``cap`` seconds, so broken
+    conversations don't pull at a clock without bound. The sums that this needs
+    are taken over slots of a second within ``reach``, so a sender gives at most
+    a few hundred numbers, whatever the corpus; senders are the spellings of
+    REPLY_ROLES. Of equally good offsets the one nearest to none is taken, and
+    none at all where CLOCK_GAIN or CLOCK_SHARE isn't reached.
+    """
+    edge = reach + cap
+    bounds = constraints.select("sender", F.lit(1).alias("side"), F.col("low").alias("x")).unionByName(constraints.select("sender", F.lit(-1).alias("side"), (-F.col("high")).alias("x")))
+    # an upper bound is a lower one on the clock run backwards
+    slot = F.greatest(F.lit(-edge), F.least(F.lit(edge), F.floor("x"))).cast("int")
+    sums = bounds.where("x is not null").groupBy("sender", "side", slot.alias("slot")).agg(F.count("*").alias("n"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
+    table: dict[str, np.ndarray] = {}
+    for r in sums.collect():  # at most 2 * (2 * edge + 1) rows a sender
+        table.setdefault(r["sender"], np.zeros((2, 2 * edge + 2, 3)))[0 if r["side"] > 0 else 1, r["slot"] + edge] = r["n"], r["s1"], r["s2"]
+    return {k: _least_squares(t, reach, cap, edge) for k, t in sorted(table.items())}
+
+
+def _least_squares(t: np.ndarray, reach: int, cap: int, edge: int) -> float:
+    upto = np.concatenate([np.zeros((2, 1, 3)), np.cumsum(t, axis=1)], axis=1)
+
+    def active(side: int, at: int) -> tuple[np.ndarray, float]:
+        """Sums of the bounds that an offset ``at`` violates by less than ``cap``, and the number of those by more."""
+        a, b = at + edge, min(at + edge + cap, 2 * edge + 1)
+        return upto[side, b] - upto[side, a], upto[side, -1, 0] - upto[side, b, 0]
+
+    def loss(at: int) -> float:
+        total = 0.0
+        for side, x in ((0, at), (1, -at)):
+            (n, s1, s2), far = active(side, x)
+            total += s2 - 2 * x * s1 + x * x * n + cap * cap * far
+        return total
+
+    violated = sum(n + far for (n, _, _), far in (active(0, 0), active(1, 0)))
+    if violated < CLOCK_SHARE * upto[:, -1, 0].sum():
+        return 0.0
+    whole = sorted(range(-reach, reach + 1), key=lambda d: (round(loss(d), 6), abs(d), d))[0]
+    if loss(whole) > (1 - CLOCK_GAIN) * loss(0):
+        return 0.0
+    # between whole seconds the same bounds are violated: their mean is the least
+    (n, s1, _), _ = active(0, whole)
+    (m, u1, _), _ = active(1, -whole)
+    return float(np.clip((s1 - u1) / (n + m), whole - 1, whole + 1)) + _APART_S if n + m else float(whole)
+
+
+def with_clocks_set(rows: DataFrame) -> DataFrame:
+    """``rows`` with the times of replies on the clock of the questions."""
+    move = F.lit(0.0)
+    for sender, seconds_off in sender_offsets(arrival_constraints(rows)).items():
+        if seconds_off:
+            move = F.when(F.col("sender") == sender, seconds_off).otherwise(move)
+    return rows.withColumn("ts", F.when(F.col("speaker") == "assistant", F.col("ts") + move).otherwise(F.col("ts")))
 
 
 def order_keys(rows: DataFrame) -> DataFrame:
@@ -171,20 +254,24 @@ def judge(ordered: DataFrame, conversations: DataFrame) -> DataFrame:
     return conversations.join(verdict, "cid", "left").withColumn("reason", reason).where("reason is not null").select("cid", "reason")
 
 
-def reassemble(messages: DataFrame, max_clock_offset_s: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def reassemble(messages: DataFrame, max_clock_offset_s: float = 0.0, set_clocks: bool = False) -> tuple[DataFrame, DataFrame]:
     """(turns, dropped) of message rows.
 
     turns: conversation_id, turn (from 1), speaker, content, ts of the sound
     conversations; dropped: conversation_id, reason. Messages stand in order of
     time, then id; where a conversation has a message without a time, ids give
-    the order. ``max_clock_offset_s`` above 0 lets the replies' clock be corrected
-    by at most that much where this meets all constraints.
+    the order. With ``set_clocks`` the clocks of the senders are set beforehand (:func:`sender_offsets`);
+    ``max_clock_offset_s`` above 0 lets the replies of a single conversation be
+    moved by at most that much beside, where this meets all its constraints.
 
     Null, blank and invisible contents are no turns; rows with a null or blank
     conversation belong to none; null ids order before others; an empty table
     gives two empty results. Further columns are ignored.
     """
-    rows = stage(order_keys(normalise(messages)), "messages")
+    rows = normalise(messages)
+    if set_clocks:
+        rows = with_clocks_set(stage(rows, "rows"))
+    rows = stage(order_keys(rows), "messages")
     if max_clock_offset_s > 0:
         # what is in order as it stands needs none
         broken = judge(in_order(rows, "as-stamped"), rows.select("cid").distinct()).select("cid")

@@ -11,6 +11,7 @@ language, at a price that is low between sentences and high within one.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +25,10 @@ from docmill.scratch import stage
 
 LANGUAGES = tuple(sorted(SEEDS))
 ORDER = 5
-#: Bounds of the samples that the models are retrained on: rows per source, and characters per language.
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 200_000
+#: Bound of the sample that the models are retrained on: characters of different sentences of labelled rows, for each label.
+SAMPLE_CHARS = 300_000
+#: Pieces that texts are sampled in: sentences, or the parts of longer ones.
+_PIECE = r"[^.!?\n]{1,1000}[.!?]*"
 #: Price, in nats, of a change of language at the end of a sentence and elsewhere.
 CHANGE_AT_END, CHANGE_INSIDE = 4.0, 18.0
 #: A foreign stretch counts as a sentence from this many words and letters; a whole record is judged from fewer.
@@ -252,7 +255,6 @@ def train(samples: list[str]) -> Identifier:
     """
     first = Identifier({x: CharModel.train(_counted([SEEDS[x]])) for x in LANGUAGES})
     found: dict[str, list[str]] = {x: [] for x in LANGUAGES}
-    used = dict.fromkeys(LANGUAGES, 0)
     first.scores(sorted({w.lower().replace("’", "'") for t in samples for w in _WORD.findall(t)}))
     for t in samples:
         for s in sentences(t):
@@ -261,10 +263,8 @@ def train(samples: list[str]) -> Identifier:
                 continue
             z = first.scores(words).sum(0)
             order = np.argsort(-z)
-            x = LANGUAGES[order[0]]
-            if z[order[0]] - z[order[1]] > 8 + 0.4 * len(words) and used[x] < SAMPLE_CHARS:
-                found[x].append(s)
-                used[x] += len(s)
+            if z[order[0]] - z[order[1]] > 8 + 0.4 * len(words):
+                found[LANGUAGES[order[0]]].append(s)
     kept = {x: [s for i, s in enumerate(found[x]) if i % 5] for x in LANGUAGES}
     held = {x: [s for i, s in enumerate(found[x]) if i % 5 == 0] for x in LANGUAGES}
     counts = {}
@@ -293,15 +293,29 @@ def train(samples: list[str]) -> Identifier:
     return final
 
 
-def fit(*texts: DataFrame) -> Identifier:
-    """Train on bounded samples (by hash of the text, ``SAMPLE_ROWS`` rows each) of tables with a column ``text``."""
-    samples: list[str] = []
-    for df in texts:
-        usable = df.select("text").where("text is not null and length(text) between 20 and 20000")
-        n = usable.count()
-        part = usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_ROWS / max(1, n))))
-        samples.extend(sorted(part.toArrow().column(0).to_pylist()))
-    return train(samples)
+def labelled_pieces(labelled: DataFrame) -> DataFrame:
+    """(piece) of ``labelled(text, label)``: different sentences of labelled texts, about SAMPLE_CHARS characters of each label.
+
+    They are taken by a hash of the sentence, whatever it begins with and wherever
+    it stands; a sentence that is repeated counts once.
+    """
+    rows = labelled.where("text is not null and label is not null")
+    size = rows.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()  # one row a language
+    share = F.lit(0)
+    for r in size:
+        share = F.when(F.col("label") == r["label"], int(1e6 * min(1.0, SAMPLE_CHARS / max(1, r["n"])))).otherwise(share)
+    pieces = rows.select("label", F.explode(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))).alias("piece"))
+    return pieces.where(F.pmod(F.xxhash64("piece"), F.lit(1_000_000)) < share).select("piece").distinct()
+
+
+def fit(labelled: DataFrame) -> Identifier:
+    """Train on a bounded sample of ``labelled(text, label)``; labels may be wrong, the seeds decide what is learnt from.
+
+    Null texts, labels that name no language and empty tables leave the models of the seeds.
+    """
+    got = labelled_pieces(labelled).toArrow().column(0).to_pylist()
+    # in an order of its own, so that what is held out has nothing to do with how sentences begin
+    return train(sorted(got, key=lambda x: (zlib.crc32(x.encode()), x)))
 
 
 def identify(df: DataFrame, model: Identifier) -> DataFrame:

@@ -125,6 +125,30 @@ def test_clock_offsets_with_several_replies_to_a_question(spark):
         assert not any(x.speaker == y.speaker == "user" for x, y in zip(turns, turns[1:]))
 
 
+def test_clocks_of_senders_by_least_squares(spark):
+    rng = random.Random(13)
+    rows, off = [], {"bot": 25.0, "assistant": 0.0}
+    for c in range(200):
+        who, t = ("bot" if c % 2 else "assistant"), 1e9 + 1e5 * c
+        for k in range(3):
+            t += 100 + rng.random()
+            rows.append((1000 * c + 2 * k, f"c{c}", "user", f"q{k}", t, None))
+            t += 2 + 20 * rng.random()
+            rows.append((1000 * c + 2 * k + 1, f"c{c}", who, f"a{k}", t - off[who], None))
+    broken = [(10**6 + i, f"b{i}", "user" if i % 2 else "bot", "x", 1e9 + i, None) for i in range(20)]  # questions without reply, and replies alone
+    df = spark.createDataFrame(rows + broken, SHAPE)
+    got = conversations.sender_offsets(conversations.arrival_constraints(conversations.normalise(df)))
+    assert got["assistant"] == 0 and 22 < got["bot"] < 100
+    assert conversations.reassemble(df)[1].count() > 100
+    turns, dropped = conversations.reassemble(df, set_clocks=True)
+    assert {r.conversation_id for r in dropped.collect()} == {f"b{i}" for i in range(20)}
+    assert [r.content for r in turns.where("conversation_id = 'c7'").orderBy("turn").collect()] == ["q0", "a0", "q1", "a1", "q2", "a2"]
+    # what is broken, but not by the clock, moves none
+    bad = [(10 * i + k, f"d{i}", r, f"{r}{k}", 1e9 + 1000 * i + t, None) for i in range(100) for k, (r, t) in enumerate([("user", 0), ("bot", 5), ("user", 50), ("bot", 58)] if i % 5 else [("bot", 3), ("user", 9), ("user", 20)])]
+    assert set(conversations.sender_offsets(conversations.arrival_constraints(conversations.normalise(spark.createDataFrame(bad, SHAPE)))).values()) == {0.0}
+    assert conversations.sender_offsets(conversations.arrival_constraints(conversations.normalise(df.where("false")))) == {}
+
+
 # 3
 
 
@@ -165,6 +189,20 @@ def test_undeclared(spark, identifier):
     assert got == {("a", "fr"), ("e", "en"), ("q2", "en")}
 
 
+def test_sample_of_sentences(spark, monkeypatch):
+    rng = random.Random(14)
+    say = lambda i: f"{chr(65 + i % 26)}{i} " + " ".join(rng.choice(["the", "river", "was", "near", "old", "bridge", "and", "many", "people", "saw", "it"]) for _ in range(12)) + "."
+    rows = [(say(i), "en") for i in range(4000)] + [("This notice stands on every page of the whole collection of reports.", "en")] * 500
+    rows += [("1 # " + say(0), "en"), (None, "en"), ("", "en"), ("Kein Etikett an diesem Text.", None), ("x" * 100_000, "de")]
+    df = spark.createDataFrame(rows, "text string, label string")
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 60_000)
+    got = [r.piece for r in language.labelled_pieces(df).collect()]
+    assert len(got) == len(set(got)) and sum(map(len, got)) < 2.5 * 60_000
+    first = {x[0] for x in got if x[0].isalpha()}
+    assert len(first) > 20  # of all beginnings, not of the first in the alphabet
+    assert language.fit(df.where("false")).limit
+
+
 def test_kneser_ney_sums_to_one():
     m = language.CharModel.train(Counter("the cat sat on the mat and the rat ate the hat".split()))
     codes, start, size = language._lay(["th"])
