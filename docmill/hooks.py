@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -46,10 +47,15 @@ def echo(prompt: Column) -> Column:
 
 
 def dictionary_entities(text: Column, names: list[str]) -> Column:
-    """Entities of a text that a list names (up to a few thousand names)."""
-    low = F.array_join(tokens(text), " ")
-    hit = [F.when(F.concat(F.lit(" "), low, F.lit(" ")).contains(f" {n.lower()} "), F.lit(n)) for n in names]
-    return F.filter(F.array(*hit), lambda x: x.isNotNull()) if hit else F.array().cast("array<string>")
+    """Entities of a text that a list names: its word sequences are looked up in one map."""
+    by = {" ".join(re.findall(r"\w+", n.lower())): n for n in sorted(names, reverse=True)}
+    by.pop("", None)
+    if not by:
+        return F.array().cast("array<string>")
+    lookup = F.create_map(*(F.lit(x) for kv in by.items() for x in kv))
+    w, most = tokens(text), max(len(k.split()) for k in by)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, n), " "))))
+    return F.filter(F.transform(F.array_distinct(grams), lambda g: F.try_element_at(lookup, g)), lambda x: x.isNotNull())
 
 
 @dataclass(frozen=True)

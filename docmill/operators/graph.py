@@ -190,11 +190,13 @@ def prune(node_support: DataFrame, edge_support: DataFrame, nodes: DataFrame, ed
     return {"nodes": n, "edges": e, "node_chunks": kept_nc.join(lost, "node_id", "left_anti"), "edge_chunks": kept_ec.join(e.select("src", "dst"), ["src", "dst"], "left_semi"), "counts": counts}
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 80, levels: int = 20) -> DataFrame:
     """(node_id, community): modularity communities by parallel local moves.
 
-    Each round, one half of the vertices (by hash, the halves alternate) moves to
-    the neighbouring community of most gain; then communities become vertices.
+    Each round, a part of the vertices (drawn anew by hash, so that neighbours
+    don't change places for ever) moves to the neighbouring community of most
+    gain, until none would; then communities become vertices, until none merge.
+    A search that doesn't end within ``rounds`` and ``levels`` fails.
     A community is named after its smallest node. Deterministic; all steps are
     joins and aggregations over edges, none gathers a component.
     """
@@ -222,14 +224,23 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels:
                 F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("stay"),
             )
             # alone in its community, a vertex gains nothing by staying
-            turn = F.pmod(F.xxhash64("v"), F.lit(2)) == r % 2
-            moves = best.where(turn & (F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-9)).select("v", F.col("b.c").alias("to"))
-            state = stage(state.join(moves, "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k"), f"louvain-{level}-{r}")
+            turn = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2 if r < 10 else 4)) == 0
+            moves = best.where(F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-9).select("v", F.col("b.c").alias("to"), turn.alias("turn"))
+            step = stage(state.join(moves, "v", "left").select("v", F.when(F.col("turn"), F.col("to")).otherwise(F.col("c")).alias("c"), "k", F.col("to").isNotNull().alias("wants")), f"louvain-{level}-{r}")
+            state = step.drop("wants")
+            if step.where("wants").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"vertices still move after {rounds} rounds")
         named = state.groupBy("c").agg(F.min("v").alias("name"))
         label = stage(state.join(named, "c").select("v", "name"), f"louvain-label{level}")
+        if label.where("v <> name").isEmpty():
+            break
         member = stage(member.join(label, "v").select("node_id", F.col("name").alias("v")), f"louvain-members{level}")
         w = w.join(label.withColumnsRenamed({"v": "a", "name": "na"}), "a").join(label.withColumnsRenamed({"v": "b", "name": "nb"}), "b")
         w = stage(w.groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("weight").alias("weight")), f"louvain-edges{level}")
+    else:
+        raise RuntimeError(f"communities still merge after {levels} levels")
     return member.select("node_id", F.col("v").alias("community"))
 
 
@@ -271,13 +282,16 @@ def default_summary(n_nodes: Column) -> Column:
 def mentioned(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, node_id): nodes whose name stands in the query, case apart.
 
-    Names are found by their words: a query's word sequences of up to eight words
-    are joined with the names, so no query meets every node.
+    Names are found by their words: a query's word sequences, up to the length of
+    the longest name, are joined with the names, so no query meets every node.
     """
+    named = nodes.select("node_id", tokens(F.col("name")).alias("w")).where("size(w) > 0").select("node_id", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))
+    most = named.agg(F.max("n")).scalar()
     w = queries.select("query_id", tokens(F.col("query")).alias("w"))
-    w = w.select("query_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w")))).alias("i"), )
-    w = w.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.array_join(F.slice("w", F.col("i"), n), " "))).alias("words")).distinct()
-    named = nodes.select("node_id", F.array_join(tokens(F.col("name")), " ").alias("words")).where("words <> ''")
+    w = w.select("query_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w")))).alias("i"))
+    room = F.greatest(F.lit(1), F.least(F.size("w") - F.col("i") + 1, F.coalesce(most, F.lit(1))))
+    w = w.withColumn("room", room).select("query_id", "w", "i", F.explode(F.sequence(F.lit(1), F.col("room"))).alias("k"))
+    w = w.select("query_id", F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("words")).distinct()
     return w.join(named, "words").select("query_id", "node_id").distinct()
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import strip
+from docmill.operators.components import connected_components
 from docmill.scratch import stage
 
 BLOCK_ROWS = 4_000
@@ -64,31 +67,17 @@ def same_by_rule(name_a: Column, aliases_a: Column, name_b: Column, aliases_b: C
     return (a != "") & (b != "") & ((a == b) | among(aliases_a, b) | among(aliases_b, a) | short)
 
 
-def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): records linked by ``pairs(a, b)``, directly or through others, with the smallest id of each cluster.
-
-    Labels are halved along the way: every vertex takes the least label around
-    it, then the label of that label, until none changes.
-    """
-    both = pairs.select("a", "b").where("a <> b").distinct()
-    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for k in range(rounds):
-        near = both.join(label.withColumnsRenamed({"id": "b", "root": "rb"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("rb").alias("m"))
-        best = label.join(near, "id").select("id", F.least("root", "m").alias("m"), "root")
-        up = label.select(F.col("id").alias("m"), F.col("root").alias("r2"))
-        new = stage(best.join(up, "m", "left").select("id", F.least("m", F.coalesce("r2", "m")).alias("root"), F.col("root").alias("old")), f"labels{k}")
-        changed = not new.where("root <> old").isEmpty()
-        label = new.select("id", "root")
-        if not changed:
-            return label
-    raise RuntimeError(f"labels have not settled after {rounds} rounds")
+def clusters(pairs: DataFrame, cell_edges: int = 50_000) -> DataFrame:
+    """(id, root): records linked by ``pairs(a, b)``, directly or through others, with the smallest id of each cluster."""
+    cc = stage(connected_components(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")), cell_edges), "components")
+    least = cc.groupBy("component").agg(F.min("v").alias("root"))
+    return cc.join(least, "component").select(F.col("v").alias("id"), "root")
 
 
 def majority_type(members: DataFrame) -> DataFrame:
     """(root, type) of ``members(root, type, ord)``: the most frequent type, of equally frequent ones the first seen."""
     per = members.groupBy("root", "type").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    return per.groupBy("root").agg(F.max_by("type", F.struct("n", (-F.col("first")).alias("f"))).alias("type"))
+    return per.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "type")).alias("k")).select("root", "k.type")
 
 
 def canonical_name(members: DataFrame) -> DataFrame:
@@ -146,6 +135,23 @@ def redirect_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return kept.groupBy("src", "dst").agg(F.min_by("rel_type", F.struct((-F.col("weight")).alias("w"), "rel_type")).alias("rel_type"), F.sum("weight").alias("weight"))
 
 
+def redirect_support(edge_chunks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst, chunk_id): the chunks of edges whose ends were moved to their root, each once; loops lose theirs."""
+    e = edge_chunks
+    for side in ("src", "dst"):
+        e = e.join(roots.select(F.col("id").alias(side), F.col("root").alias("_r")), side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
+    return e.where("src <> dst").select("src", "dst", "chunk_id").distinct()
+
+
+def merged_edge_descriptions(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst, description) of ``edges(src, dst, description)`` moved to their roots: sentences of all, without repeats."""
+    e = edges.where("description is not null").select("src", "dst", "description", F.concat_ws("\x00", "src", "dst").alias("ord"))
+    for side in ("src", "dst"):
+        e = e.join(roots.select(F.col("id").alias(side), F.col("root").alias("_r")), side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
+    e = e.where("src <> dst").withColumn("root", F.struct("src", "dst"))
+    return merge_descriptions(e.select("root", "ord", "description")).select("root.src", "root.dst", "description")
+
+
 def merged_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, name, type, n_members): one row per cluster; the type is the root's own."""
     m = nodes.join(roots.select(F.col("id"), "root"), "id").select("root", "id", "name", "type")
@@ -155,11 +161,55 @@ def merged_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return size.join(names, "root", "left").join(own, "root", "left").select("root", "name", "type", "n_members")
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, least: float = 0.75, verdict=same_by_rule) -> dict[str, DataFrame]:
-    """Pairs, clusters, merged nodes and edges of one pass over a graph; ``verdict`` may be any column function of names and aliases."""
-    pairs = candidate_pairs(vectors, least)
+def apply_merges(nodes: DataFrame, roots: DataFrame) -> dict[str, DataFrame]:
+    """The nodes after merging, and what an entity was merged from, as tables of one row each.
+
+    nodes(id, name, type, description, attributes): each root with the name that
+    most members have, its own type, the sentences of all descriptions and the
+    merged attributes; nodes outside clusters as they are; other members are gone.
+    aliases(id, alias): names of members other than the chosen one, beside the
+    aliases that nodes outside clusters have. members(id, member). node_chunks(id,
+    chunk_id): every source chunk of every member once. Roots without a row in
+    ``nodes`` are taken over by nobody: their members stay in the cluster under it.
+    """
+    m = stage(nodes.join(roots.select("id", "root"), "id"), "members")
+    lone = nodes.join(roots.select("id"), "id", "left_anti")
+    kv = merge_attributes(m.select("root", "attributes"))
+    attributes = kv.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attributes"))
+    described = merge_descriptions(m.where("description is not null").select("root", F.col("id").alias("ord"), "description"))
+    base = merged_nodes(nodes, roots)
+    merged = base.join(described, "root", "left").join(attributes, "root", "left").select(F.col("root").alias("id"), "name", "type", "description", "attributes")
+    names = m.select(F.col("root").alias("id"), F.col("name").alias("alias")).join(base.select(F.col("root").alias("id"), F.col("name").alias("_name")), "id")
+    aliases = names.where("alias is not null and alias <> _name").select("id", "alias").unionByName(lone.select("id", F.explode("aliases").alias("alias")).where("alias is not null")).distinct()
+    own = lambda d, key: d.select(F.col(key).alias("id"), F.explode("source_chunks").alias("chunk_id"))
+    chunks = own(m, "root").unionByName(own(lone, "id")).where("chunk_id is not null").distinct()
+    return {
+        "nodes": merged.unionByName(lone.select("id", "name", "type", "description", "attributes")),
+        "aliases": aliases,
+        "members": m.select(F.col("root").alias("id"), F.col("id").alias("member")),
+        "node_chunks": chunks,
+    }
+
+
+def resolve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, least: float = 0.75, verdict=same_by_rule, decided: DataFrame | None = None, confidence: float = 0.7) -> dict[str, DataFrame]:
+    """One pass over a graph: pairs, verdicts, clusters, merged entities, redirected edges and counts.
+
+    ``verdict`` may be any column function of names and aliases. Pairs in
+    ``decided(id_a, id_b, same_entity, confidence)`` keep that decision, if it is
+    of at least ``confidence``, and aren't asked again.
+    """
+    pairs = stage(candidate_pairs(vectors, least), "pairs")
     side = lambda s: nodes.select(F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"), F.col("aliases").alias(f"al_{s}"))
-    same = pairs.join(side("a"), "id_a").join(side("b"), "id_b").where(verdict(F.col("name_a"), F.col("al_a"), F.col("name_b"), F.col("al_b")))
-    roots = clusters(same.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    gone = roots.where("id <> root").select("id")
-    return {"pairs": pairs, "roots": roots, "merged": merged_nodes(nodes, roots), "nodes": nodes.join(gone, "id", "left_anti"), "edges": redirect_edges(edges, roots)}
+    open_, known = pairs, None
+    if decided is not None:
+        cached = decided.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "same_entity", "confidence").groupBy("id_a", "id_b").agg(F.max(F.struct("confidence", "same_entity")).alias("d"))
+        known = pairs.join(cached, ["id_a", "id_b"]).where(F.col("d.same_entity") & (F.col("d.confidence") >= confidence)).select("id_a", "id_b")
+        open_ = pairs.join(cached, ["id_a", "id_b"], "left_anti")
+    same = open_.join(side("a"), "id_a").join(side("b"), "id_b").where(verdict(F.col("name_a"), F.col("al_a"), F.col("name_b"), F.col("al_b"))).select("id_a", "id_b")
+    same = stage(same if known is None else same.unionByName(known), "verified")
+    roots = stage(clusters(same.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "roots")
+    ids = roots.select("id")
+    touched = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns))
+    count = lambda d, name: d.agg(F.count("*").alias("value")).select(F.lit(name).alias("counter"), "value")
+    counts = [count(pairs, "candidate_pairs"), count(same, "verified_pairs"), count(roots.select("root").distinct(), "clusters"), count(roots.where("id <> root"), "entities_merged"), count(touched, "relationships_updated")]
+    return {"pairs": pairs, "verified": same, "roots": roots, "merged": merged_nodes(nodes, roots), **apply_merges(nodes, roots), "edges": redirect_edges(edges, roots), "counts": reduce(DataFrame.unionByName, counts)}

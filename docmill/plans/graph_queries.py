@@ -286,9 +286,13 @@ rc AS (SELECT a AS id, a AS r FROM bo UNION SELECT rc.id, bo.b FROM rc JOIN bo O
 roots AS (SELECT id, min(r) AS root FROM rc GROUP BY id)"""
 
 
+#: Edges a cell of the grid: few, so that several cells and rounds are needed on these tables too.
+CELL_EDGES = 200
+
+
 def _roots(read):
     m = read("node_matches").where("same_entity and confidence >= 0.7 and node_a <> node_b")
-    return resolution.clusters(m.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return resolution.clusters(m.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), CELL_EDGES)
 
 
 @query("entity_clusters", f"WITH RECURSIVE {_SAME} SELECT id, root FROM roots")
@@ -312,9 +316,9 @@ def merge_entities(read):
 
 @query("majority_type", f"WITH RECURSIVE {_SAME}, {_MEMBERS} SELECT root, type FROM (SELECT root, type, count(*) AS n, min(id) AS f FROM m WHERE type IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, f) = 1")
 def majority_type(read):
+    """Of equally frequent types the one whose first member comes first by id."""
     m = read("graph_nodes").where("type is not null").join(_roots(read), "id")
-    ranked = m.groupBy("root", "type").agg(F.count("*").alias("n"), F.min("id").alias("f"))
-    return ranked.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "f", "type")).alias("k")).select("root", "k.type")
+    return resolution.majority_type(m.select("root", "type", F.col("id").alias("ord")))
 
 
 @query(
@@ -346,6 +350,39 @@ def redirect_edges(read):
     return resolution.redirect_edges(e, _roots(read)).select("src", "dst", "weight")
 
 
+@query(
+    "resolved_nodes",
+    f"""WITH RECURSIVE {_SAME}, {_MEMBERS},
+nm AS (SELECT * FROM (SELECT root, name, count(*) AS n FROM m WHERE name IS NOT NULL GROUP BY root, name) QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, length(name) DESC, name) = 1),
+b AS (SELECT s.root AS id, nm.name, o.type FROM (SELECT DISTINCT root FROM m) s LEFT JOIN nm ON s.root = nm.root LEFT JOIN (SELECT root, type FROM m WHERE id = root) o ON s.root = o.root),
+lone AS (SELECT * FROM graph_nodes WHERE id NOT IN (SELECT id FROM roots)),
+al AS (SELECT DISTINCT m.root AS id, m.name AS alias FROM m JOIN b ON m.root = b.id WHERE m.name IS NOT NULL AND m.name <> b.name UNION SELECT id, alias FROM (SELECT id, unnest(aliases) AS alias FROM lone) WHERE alias IS NOT NULL),
+ch AS (SELECT DISTINCT id, chunk FROM (SELECT r.root AS id, unnest(g.source_chunks) AS chunk FROM roots r JOIN graph_nodes g USING (id) UNION ALL SELECT id, unnest(source_chunks) FROM lone) WHERE chunk IS NOT NULL),
+n AS (SELECT id, name, type FROM b UNION ALL SELECT id, name, type FROM lone),
+mm AS (SELECT root AS id, count(*) AS n FROM m GROUP BY root)
+SELECT n.id, n.name, n.type, coalesce(mm.n, 0) AS merged_from, coalesce(a.n, 0) AS aliases, coalesce(c.n, 0) AS chunks FROM n LEFT JOIN mm USING (id)
+LEFT JOIN (SELECT id, count(*) AS n FROM al GROUP BY id) a USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM ch GROUP BY id) c USING (id)""",
+)
+def resolved_nodes(read):
+    """The nodes after merging, with the sizes of what each was merged from."""
+    t = resolution.apply_merges(read("graph_nodes"), _roots(read))
+    out = t["nodes"].select("id", "name", "type")
+    for name, key in (("merged_from", "members"), ("aliases", "aliases"), ("chunks", "node_chunks")):
+        out = out.join(t[key].groupBy("id").agg(F.count("*").alias(name)), "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+@query(
+    "resolved_edges",
+    f"""WITH RECURSIVE {_SAME}, ed AS (SELECT node_a AS src, node_b AS dst, coalesce(decided_at::VARCHAR, '?') AS chunk FROM node_matches)
+SELECT src, dst, count(DISTINCT chunk) AS chunks FROM (SELECT coalesce(x.root, src) AS src, coalesce(y.root, dst) AS dst, chunk FROM ed LEFT JOIN roots x ON src = x.id LEFT JOIN roots y ON dst = y.id) WHERE src <> dst GROUP BY ALL""",
+)
+def resolved_edges(read):
+    """The support of edges after merging; times of decisions stand in for chunks."""
+    e = read("node_matches").select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), F.coalesce(F.col("decided_at").cast("string"), F.lit("?")).alias("chunk_id"))
+    return resolution.redirect_support(e, _roots(read)).groupBy("src", "dst").agg(F.count("*").alias("chunks"))
+
+
 @query("rule_verdicts")
 def rule_verdicts(read):
     """The default verdict on the candidate pairs."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmill.functions.text import tokens
 from docmill.operators import chunking, search
 from docmill.plans.registry import query
 from docmill.plans.text_queries import WORDS
+from docmill.scratch import stage
 
 ASKED = "retrieval pipeline access log database"
 _TOKENS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
@@ -48,14 +48,7 @@ SELECT source, count(*) AS hits, max(score) AS best_score, array_to_string(list(
 )
 def exhaustive_search(read):
     """Ties of excerpts at equal scores are broken by document."""
-    docs = read("documents")
-    q = docs.sparkSession.createDataFrame([(0, ASKED)], "query_id int, query string")
-    scored = search.bm25(search.build_index(docs), q).withColumn("score", F.round("score", 6)).select("doc_id", "score")
-    full = docs.select("doc_id", "source", F.substring("text", 1, 200).alias("excerpt")).join(scored, "doc_id")
-    rank = F.row_number().over(search.Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
-    best = F.when(F.col("rank") <= 10, F.struct("rank", "excerpt"))
-    g = full.withColumn("rank", rank).groupBy("source").agg(F.count("*").alias("hits"), F.max("score").alias("best_score"), F.array_sort(F.collect_list(best)).alias("e"))
-    return g.select("source", "hits", "best_score", F.array_join(F.transform("e", lambda x: x["excerpt"]), "|").alias("excerpts"))
+    return search.exhaustive(read("documents"), ASKED).withColumn("excerpts", F.array_join("excerpts", "|"))
 
 
 @query("bm25_topk", f"WITH {_index_sql()}, {_scores_sql(_BENCH)} SELECT query_id, doc_id, score, rank FROM {_top(10)}")
@@ -73,13 +66,11 @@ _DENSE = f"""(SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY qu
   SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) QUALIFY rank <= {{k}})"""
 
 
-def _dense(read, k):
+def _dense(read, k, least=None):
     e = read("embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    s = v.join(F.broadcast(q), F.size("vec") == F.size("qvec"))
-    scored = s.select("query_id", F.col("id").alias("doc_id"), F.round(search.cosine(F.col("vec"), F.col("qvec")), 6).alias("score"))
-    return search.top_k(scored, k, ["query_id"])
+    return search.dense_join(q, v, k, least).withColumnRenamed("id", "doc_id")
 
 
 @query("dense_topk", f"SELECT query_id, doc_id, score, rank FROM {_DENSE.format(k=10)}")
@@ -93,7 +84,7 @@ def dense_topk(read):
     f"SELECT query_id, doc_id, score, rank FROM {_DENSE.format(k=6)} WHERE score >= 0.3",
 )
 def similar_entities(read):
-    return _dense(read, 6).where("score >= 0.3")
+    return _dense(read, 6, 0.3)
 
 
 _TF = f"""w AS (SELECT query_id, doc_id, sum(times * tf)::DOUBLE AS score FROM q JOIN p USING (term) GROUP BY ALL)"""
@@ -111,9 +102,7 @@ def rrf_fusion(read):
     index = search.build_index(docs)
     q = read("benchmark_queries").where("query is not null").select("query_id", "query")
     a = search.top_k(search.bm25(index, q).withColumn("score", F.round("score", 6)), 20, ["query_id"])
-    words = q.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tf = index.postings.join(words, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("times")).cast("double").alias("score"))
-    b = search.top_k(tf, 20, ["query_id"])
+    b = search.top_k(search.term_counts(index, q), 20, ["query_id"])
     return search.rrf([(a, 0.6), (b, 0.4)], "doc_id", ["query_id"]).withColumn("score", F.round("score", 6))
 
 
@@ -125,11 +114,12 @@ k AS (SELECT query_id, doc_id, kind, round(s.score * CASE kind WHEN 'Table' THEN
 SELECT query_id, doc_id, kind, score, rank FROM {_top(10, source='k')}""",
 )
 def multi_index_search(read):
-    """Each content type's ten best, weighted by type, then the ten best of all."""
-    s = _scored(read).join(read("documents").select("doc_id", "kind"), "doc_id")
-    each = search.top_k(s, 10, ["query_id", "kind"]).drop("rank")
-    weight = F.when(F.col("kind") == "Table", 0.9).when(F.col("kind") == "Image", 0.8).otherwise(1.0)
-    return search.top_k(each.withColumn("score", F.round(F.col("score") * weight, 6)), 10, ["query_id"]).select("query_id", "doc_id", "kind", "score", "rank")
+    """Each content type's ten best, weighted by type, then the ten best of all; what has no type counts as a text of its own list."""
+    s = stage(_scored(read).join(read("documents").select("doc_id", "kind"), "doc_id"), "scored")
+    kinds = [r[0] for r in s.select("kind").distinct().collect()]  # one row a content type
+    lists = {k or "": search.top_k(s.where(F.col("kind").eqNullSafe(F.lit(k))), 10, ["query_id"]).drop("rank") for k in kinds}
+    best = search.multi_index(lists, {"Table": 0.9, "Image": 0.8}, 10, "doc_id", ["query_id"])
+    return best.select("query_id", "doc_id", F.nullif("content_type", F.lit("")).alias("kind"), "score", "rank")
 
 
 _CHILDREN = f"""c0 AS (SELECT doc_id AS parent, {WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL),
@@ -147,8 +137,8 @@ def parent_expand(read):
     child = d.select(F.col("doc_id").alias("parent"), F.posexplode(chunking.windows(F.col("text"), 80, 16)).alias("i", "text"))
     child = child.select(F.concat_ws(":", "parent", "i").alias("doc_id"), "text")
     top = search.top_k(_scored(read, child), 10, ["query_id"]).withColumn("parent_id", F.substring_index("doc_id", ":", 1).cast("long"))
-    first = top.groupBy("query_id", "parent_id").agg(F.min(F.struct("rank", "score")).alias("f"))
-    return first.select("query_id", "parent_id", F.col("f.rank").alias("rank"), F.col("f.score").alias("score"))
+    parents = d.select(F.col("doc_id").alias("parent_id"))
+    return search.parent_expand(top, parents, by=["query_id"]).select("query_id", "parent_id", "rank", "score")
 
 
 _FIELDS = ("source", "kind", "page", "lang", "n_chars")

@@ -75,8 +75,9 @@ def embedding_cache_stats(read):
 def embedding_reuse(read):
     """Which texts have their vector already, if documents are embedded in order of their ids."""
     d = read("documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
-    first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("chunk_id").alias("first"))
-    return d.join(first, F.sha2("text", 256) == F.col("h")).select(F.col("chunk_id").alias("doc_id"), (F.col("first") < F.col("chunk_id")).alias("known"))
+    cache = d.select(F.sha2("text", 256).alias("content_hash"), F.col("chunk_id").alias("vec"), F.col("chunk_id").alias("created_at"))
+    known, _ = state.reusable_vectors(d, cache)
+    return known.select(F.col("chunk_id").alias("doc_id"), (F.col("vec") < F.col("chunk_id")).alias("known"))
 
 
 _CACHE = "(SELECT vec_id AS key, CASE model WHEN 'lexi-embed-64' THEN 'lookup_entity' WHEN 'corvo-embed-64' THEN 'retrieve_graph' ELSE 'other' END AS tool, epoch(created_at::TIMESTAMP)::DOUBLE AS created_at FROM chunk_embeddings WHERE created_at IS NOT NULL)"

@@ -234,16 +234,22 @@ def sentence_groups(read):
 
 
 _VECTORS = r"""
-v AS (SELECT regexp_extract(chunk_id, '^(.*)_page_', 1) AS doc, vec_id AS pos, embedding::DOUBLE[] AS vec FROM chunk_embeddings
-      WHERE embedding IS NOT NULL AND len(embedding) = 64 AND model = 'lexi-embed-64' AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT regexp_extract(chunk_id, '^(.*)_page_', 1) AS doc, model, vec_id AS pos, embedding::DOUBLE[] AS vec FROM chunk_embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+z AS (SELECT * FROM (SELECT model, len(vec) AS dim, count(*) AS n FROM u GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, dim DESC) = 1),
+v AS (SELECT coalesce(u.model, '') || '|' || u.doc AS doc, pos, vec FROM u JOIN z ON u.model IS NOT DISTINCT FROM z.model AND len(u.vec) = z.dim),
 n AS (SELECT *, lead(vec) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM v),
 sim AS (SELECT doc, pos, list_cosine_similarity(vec, nxt) AS similarity FROM n WHERE nxt IS NOT NULL)"""
 
 
 def _chunk_vectors(read):
-    e = read("chunk_embeddings").where("embedding is not null and size(embedding) = 64 and model = 'lexi-embed-64'")
+    """The usable vectors of the usual size of their model; a document's vectors of one model are a sequence."""
+    e = read("chunk_embeddings").where("embedding is not null and size(embedding) > 0")
     e = e.where(~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
-    return e.select(F.regexp_extract("chunk_id", "^(.*)_page_", 1).alias("doc"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    e = e.select(F.coalesce("model", F.lit("")).alias("model"), F.regexp_extract("chunk_id", "^(.*)_page_", 1).alias("d"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    usual = e.groupBy("model", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).groupBy("model").agg(F.max(F.struct("n", "dim"))["dim"].alias("dim"))
+    e = e.join(F.broadcast(usual), "model").where(F.size("vec") == F.col("dim"))  # one row a model
+    return e.select(F.concat_ws("|", "model", "d").alias("doc"), "pos", "vec")
 
 
 @query("adjacent_similarity", f"WITH {_VECTORS} SELECT doc, pos, round(similarity, 6) AS similarity FROM sim")

@@ -18,18 +18,23 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; a local session without one (tests) gets one folder of its own."""
     sc = spark.sparkContext
     own = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="docmill-scratch-"))
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="docmill-scratch-")
+    return _OWN[sc.applicationId]
 
 
 def stage(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there."""
+    """Write ``df`` to the shared folder and return it as read from there.
+
+    This runs a job. The table stays until :func:`clear`, at the latest until the process ends.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/docmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))

@@ -83,12 +83,11 @@ def write_vectors(df: DataFrame, path: str, by: str = "model") -> None:
 def write_index(index: Index, path: str, buckets: int = 64) -> None:
     """Postings laid out by term, so that a query reads few files."""
     index.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "totals")))
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "totals")))
 
 
 def write_graph(tables: dict[str, DataFrame], path: str) -> None:

@@ -48,26 +48,70 @@ def enrich(events: DataFrame, static: DataFrame, on: str) -> DataFrame:
     return events.join(static, on, "left")
 
 
-def ingest_into(files: DataFrame, manifest_path: str, target: str, checkpoint: str, process):
-    """Stream of (path, size, mtime, content_hash, …): each batch's new and modified files are processed and appended.
+_MANIFEST = "path string, size long, mtime double, content_hash string, deleted boolean, batch long"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def manifest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(path, size, mtime, content_hash, batch): the last state of each file that isn't deleted, of batches ``before`` a number."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], _MANIFEST).drop("deleted")
+    m = spark.read.schema(_MANIFEST).parquet(path)
+    if before is not None:
+        m = m.where(F.col("batch") < before)  # a partition filter
+    last = m.groupBy("path").agg(F.max(F.struct("batch", "size", "mtime", "content_hash", "deleted")).alias("m"))
+    return last.where("not m.deleted").select("path", "m.size", "m.mtime", "m.content_hash", "m.batch")
+
 
-    A batch that is delivered again writes the same folder, so nothing doubles.
+def ingest_into(files: DataFrame, manifest_path: str, target: str, checkpoint: str, process):
+    """Stream of (path, size, mtime, content_hash, …): each batch's new and modified files are processed.
+
+    A row whose column ``deleted`` (if there is one) is true says that its file
+    is gone. Rows and manifest of a batch lie in a folder of its number, the
+    manifest is written last, and what has changed is told by the batches before
+    it only; so a batch that is delivered again writes the same once more.
+    Of a path that a batch has twice the last state counts. :func:`live_rows`
+    reads the output without former versions and deleted files.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        try:
-            manifest = spark.read.parquet(manifest_path)
-        except Exception:  # the first batch finds no manifest
-            manifest = spark.createDataFrame([], "path string, size long, mtime double, content_hash string")
-        changed = manifest_diff(manifest, df.select("path", "size", "mtime", "content_hash")).where("change <> 'deleted'")
-        fresh = df.join(changed.select("path"), "path", "left_semi")
+        gone = F.coalesce("deleted", F.lit(False)) if "deleted" in df.columns else F.lit(False)
+        state_of = df.groupBy("path").agg(F.max(F.struct("mtime", "size", "content_hash", gone.alias("deleted"))).alias("s")).select("path", "s.*")
+        known = manifest(spark, manifest_path, number)
+        here = state_of.where("not deleted").select("path", "size", "mtime", "content_hash")
+        changed = manifest_diff(known.drop("batch"), here).where("change <> 'deleted'").select("path")
+        fresh = df.where(~gone).join(here, ["path", "size", "mtime", "content_hash"], "left_semi").join(changed, "path", "left_semi")
         process(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
-        fresh.select("path", "size", "mtime", "content_hash").write.mode("append").parquet(manifest_path)
+        lost = state_of.where("deleted").join(known.select("path"), "path", "left_semi")
+        rows = here.join(changed, "path", "left_semi").withColumn("deleted", F.lit(False)).unionByName(lost.select("path", "size", "mtime", "content_hash", "deleted"))
+        rows.write.mode("overwrite").parquet(f"{manifest_path}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def live_rows(spark: SparkSession, target: str, manifest_path: str) -> DataFrame:
+    """Rows of :func:`ingest_into` (which must hold ``path``) of the last version of each file that isn't deleted."""
+    return spark.read.parquet(target).join(manifest(spark, manifest_path).select("path", "batch"), ["path", "batch"], "left_semi")
+
+
+def drop_stale(spark: SparkSession, target: str, manifest_path: str) -> list[str]:
+    """Delete output folders of batches that no live file is in; returns what was deleted."""
+    live = {r[0] for r in manifest(spark, manifest_path).select("batch").distinct().collect()}  # one row a batch
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs, gone = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) not in live:
+            fs.delete(f.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 class LatestWithin(StatefulProcessor):
     """Per key the last value, forgotten after a time to live; says of each row whether it was a hit."""
 

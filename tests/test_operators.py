@@ -10,7 +10,7 @@ from docmill.agent import Agent, history, parse
 from docmill.config import embedding_limits, ontology_of, settings_of
 from docmill.engine import Engine
 from docmill.functions import render, routing, text
-from docmill.hooks import hash_embedder
+from docmill.hooks import dictionary_entities, hash_embedder
 from docmill.operators import chunking, graph, resolution, search, state
 from docmill.sources import files
 from docmill.streaming import jobs
@@ -177,6 +177,64 @@ def test_resolution(spark):
     assert same("Machine Learning", "ML") and same("ai", "Other") and not same("Java", "JavaScript") and not same("", "")
 
 
+def test_components_over_several_rounds(spark):
+    rng = random.Random(21)
+    e = [(f"v{rng.randint(0, 300):03d}", f"v{rng.randint(0, 300):03d}") for _ in range(120)] + [("hub", f"w{i}") for i in range(150)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(80)]
+    parent = {}
+
+    def find(v):
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in e:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    want = {v: find(v) for v in parent if sum(find(u) == find(v) for u in parent) > 1}
+    df = spark.createDataFrame(e + e[:1] * 500 + [(None, "q"), ("z", "z")], "a string, b string")
+    assert {r.id: r.root for r in resolution.clusters(df, cell_edges=25).collect()} == want
+
+
+def test_resolve_merges(spark):
+    shape = "id string, name string, type string, description string, source_chunks array<string>, attributes map<string,string>, aliases array<string>"
+    rows = [
+        ("1", "Machine Learning", "CONCEPT", "Learning from data.", ["c1", "c2"], {"year": "1959"}, ["statistical learning"]),
+        ("2", "ML", "FIELD", "Learning from data. It needs examples.", ["c2", "c3"], {"year": "1960", "kind": "x"}, []),
+        ("3", "Python", "LANGUAGE", "A language.", ["c4"], None, ["Py"]),
+        ("4", "Deep Learning", "CONCEPT", None, None, {}, None),
+    ]
+    n = spark.createDataFrame(rows, shape)
+    e = edges_of(spark, [("1", "3", 1), ("2", "3", 2), ("4", "1", 1), ("2", "1", 5)])
+    v = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [1.0, 0.1]), ("3", [0.0, 1.0]), ("4", [0.9, 0.3])], "id string, vec array<double>")
+    r = resolution.resolve(n, e, v, 0.75)
+    nodes = {x.id: x for x in r["nodes"].collect()}
+    assert set(nodes) == {"1", "3", "4"} and nodes["1"].name == "Machine Learning" and nodes["1"].type == "CONCEPT"
+    assert nodes["1"].description == "Learning from data. It needs examples." and nodes["1"].attributes == {"year": "1960", "kind": "x"}
+    rows_of = lambda d: {tuple(x) for x in d.collect()}
+    assert rows_of(r["aliases"]) == {("1", "ML"), ("3", "Py")} and rows_of(r["members"]) == {("1", "1"), ("1", "2")}
+    assert rows_of(r["node_chunks"]) == {("1", "c1"), ("1", "c2"), ("1", "c3"), ("3", "c4")}
+    assert {(x.src, x.dst): x.weight for x in r["edges"].collect()} == {("1", "3"): 3.0, ("4", "1"): 1.0}
+    assert dict(rows_of(r["counts"])) == {"candidate_pairs": 3, "verified_pairs": 1, "clusters": 1, "entities_merged": 1, "relationships_updated": 4}
+    # decided before: sure ones stand, unsure ones aren't asked again
+    decided = spark.createDataFrame([("2", "1", True, 0.2), ("4", "1", True, 0.9)], "id_a string, id_b string, same_entity boolean, confidence double")
+    assert {x.id: x.root for x in resolution.resolve(n, e, v, 0.75, decided=decided)["roots"].collect()} == {"1": "1", "4": "1"}
+    d = spark.createDataFrame([("2", "3", "Two. One."), ("1", "3", "One.")], "src string, dst string, description string")
+    assert rows_of(resolution.merged_edge_descriptions(d, r["roots"])) == {("1", "3", "One. Two.")}
+    none = resolution.resolve(n.where("false"), e.where("false"), v.where("false"))
+    assert none["nodes"].count() == 0 and none["edges"].count() == 0
+
+
+def test_names_in_queries(spark):
+    long = "The Very Long Name Of The Joint Committee On Regional Water Supply"
+    n = spark.createDataFrame([("a", long), ("b", "Water"), ("c", None), ("d", " ")], "node_id string, name string")
+    q = spark.createDataFrame([("q1", f"who leads {long.lower()}?"), ("q2", ""), ("q3", "waters")], "query_id string, query string")
+    assert {tuple(r) for r in graph.mentioned(q, n).collect()} == {("q1", "a"), ("q1", "b")}
+    assert graph.mentioned(q, n.where("false")).count() == 0
+    assert column(spark, f"See {long} and water", lambda c: dictionary_entities(c, [long, "Water", "Fire", ""])) == ["Water", long]
+    assert column(spark, None, lambda c: dictionary_entities(c, ["x"])) in (None, []) and column(spark, "x", lambda c: dictionary_entities(c, [])) == []
+
+
 def test_crud_and_node_link(spark):
     n = spark.createDataFrame([("a", "A"), ("b", "B")], "node_id string, name string")
     e = edges_of(spark, [("a", "b", 1)])
@@ -266,6 +324,10 @@ def test_agent_protocol():
     assert parse("ACTION_1: retrieve_vector\nACTION_2: final_answer")[1] == [("final_answer", {})]
     assert parse('ACTION: lookup_entity\nARGUMENTS: {entity_name: "z"}')[1] == [("lookup_entity", {"entity_name": "z"})]
     assert parse("ACTION: unknown_tool")[1] == [] and parse("") == ("", [])
+    nested = parse('**THOUGHT:** a: b\nwith lines\n**ACTION:** aggregate_graph\n**ARGUMENTS:** {"operation": "COUNT", "more": {"x": [1, 2]}} and so on')
+    assert nested == ("a: b\nwith lines", [("aggregate_graph", {"operation": "COUNT", "more": {"x": [1, 2]}})])
+    assert parse("ACTION: retrieve_graph\nARGUMENTS: {'query': 'x'}")[1] == [("retrieve_graph", {"query": "x"})]
+    assert parse("ACTION: retrieve_graph\nARGUMENTS: {broken")[1] == [("retrieve_graph", {})]
     assert history([]) == ""
 
 
@@ -324,6 +386,34 @@ def test_incremental_ingest(spark, tmp_path):
     assert sorted((r.path, r.t) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", "X"), ("b", "Y"), ("b", "Z")]
 
 
+def test_ingest_again_modified_and_deleted(spark, tmp_path):
+    shape = "path string, size long, mtime double, content_hash string, text string, deleted boolean"
+    src, out, man = tmp_path / "files", f"{tmp_path}/out", f"{tmp_path}/manifest"
+
+    def deliver(rows, checkpoint="ck"):
+        if rows:
+            spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(src))
+        files_ = spark.readStream.schema(shape).parquet(str(src))
+        jobs.ingest_into(files_, man, out, f"{tmp_path}/{checkpoint}", lambda d: d.select("path", F.upper("text").alias("t"))).start().awaitTermination(120)
+
+    live = lambda: sorted((r.path, r.t) for r in jobs.live_rows(spark, out, man).collect())
+    deliver([("a", 1, 1.0, "h1", "x", False), ("b", 1, 1.0, "h2", "y", None)])
+    assert live() == [("a", "X"), ("b", "Y")]
+    deliver([], "other")  # the first batch once more
+    assert live() == [("a", "X"), ("b", "Y")] and spark.read.parquet(out).count() == 2
+    deliver([("b", 2, 2.0, "h3", "z", False), ("b", 2, 3.0, "h4", "zz", False), ("a", 1, 1.0, "h1", "x", False)])
+    deliver([("b", 2, 4.0, "h5", "w", False)])
+    assert live() == [("a", "X"), ("b", "W")]
+    assert jobs.manifest(spark, man).count() == 2
+    deliver([("b", 2, 4.0, "h5", "w", False)])  # unchanged since
+    assert live() == [("a", "X"), ("b", "W")] and {r.batch for r in jobs.manifest(spark, man).collect()} == {0, 2}
+    deliver([("a", 1, 1.0, "h1", "x", True), ("never", 1, 1.0, "h", "n", True)])
+    assert live() == [("b", "W")]
+    assert "batch=0" in jobs.drop_stale(spark, out, man) and live() == [("b", "W")]
+    deliver([("a", 1, 1.0, "h1", "x", False)])
+    assert live() == [("a", "X"), ("b", "W")]
+
+
 def test_sinks_of_metrics(spark, tmp_path):
     m = spark.createDataFrame([(1, 1.0, "fast"), (2, 3.0, "agent"), (3, 2.0, None)], "id int, timestamp double, path string")
     files.metrics_csv(m, f"{tmp_path}/c")
