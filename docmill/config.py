@@ -129,3 +129,15 @@ def settings_of(**changes) -> Settings:
     if unknown:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
     return Settings(**changes)
+
+
+def settings_from(spark, prefix: str = "spark.docmill.", **changes) -> Settings:
+    """Settings out of the session's configuration (``spark.docmill.top_k`` and so on), then ``changes``."""
+    found = {}
+    for f in fields(Settings):
+        text = spark.conf.get(prefix + f.name, None)
+        if text is None or f.name == "type_weights":
+            continue
+        kind = type(f.default)
+        found[f.name] = text.strip().lower() in ("true", "1", "yes") if kind is bool else kind(text)
+    return settings_of(**{**found, **changes})

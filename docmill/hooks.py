@@ -67,6 +67,7 @@ class Hooks:
     classify: Callable[[Column], Column] = routing.classify
     rewrite: Callable[[Column], Column] = echo
     same_entity: Callable[..., Column] = resolution.same_by_rule
+    judge: Callable[[Column, Column], Column] | None = None  # of query and passage: an answer with yes or no
     summarise: Callable[[Column], Column] | None = None
 
     def embedder(self) -> Callable[[Column], Column]:

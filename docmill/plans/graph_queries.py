@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docmill.engine import Engine
 from docmill.operators import graph, resolution
 from docmill.plans.registry import query
 from docmill.scratch import stage
@@ -216,6 +217,16 @@ def remove_nodes(read):
     return kept.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(left.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+@query("fused_context")
+def fused_context(read):
+    """Contexts of all benchmark queries from both arms; their parts have SQL of their own, the assembly is checked by pytest."""
+    em, rm = _graph(read)
+    d = read("documents")
+    e = Engine(d.sparkSession, d, stage(graph.build_nodes(em), "nodes"), stage(graph.build_edges(rm), "edges"), node_chunks=graph.node_chunks(em))
+    q = read("benchmark_queries").where("query is not null").select("query_id", "query").dropDuplicates(["query_id"])
+    return e.retrieve(q).select("query_id", "query_type", "path", F.round("vector_weight", 4).alias("vector_weight"), F.md5(F.coalesce("context", F.lit(""))).alias("context"), "n_sources")
+
+
 @query("domain_themes", "SELECT language, array_to_string(list_sort(list_distinct(flatten(list(document_types)))), '|') AS types FROM domain_configs WHERE language IS NOT NULL GROUP BY language")
 def domain_themes(read):
     """Lists of several records as one without repeats."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.agent import Agent, history, parse
-from docmill.config import embedding_limits, ontology_of, settings_of
+from docmill.config import embedding_limits, ontology_of, settings_from, settings_of
 from docmill.engine import Engine
 from docmill.functions import render, routing, text
 from docmill.hooks import dictionary_entities, hash_embedder
@@ -318,6 +318,47 @@ def test_engine_on_graph(spark, data):
     assert r.answer == "42" and len(r.steps) == 2 and "nodes" in r.steps[0].observation
 
 
+def test_retrieve_fuses_both_arms(spark):
+    docs = [(i, f"Passage {i} speaks of rivers and bridges{' often' * i}.", f"s{i}", i) for i in range(1, 7)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, page int")
+    n = spark.createDataFrame([("a", "Alpha Works", "alpha works", "ORG"), ("b", "Beta", "beta", "ORG"), ("c", "Gamma", "gamma", "ORG")], "node_id string, name string, name_norm string, type string")
+    e = edges_of(spark, [("a", "b", 2), ("b", "c", 1)])
+    nc = spark.createDataFrame([("a", f"k{i:02d}") for i in range(30)] + [("b", "k99")], "node_id string, chunk_id string")
+    q = spark.createDataFrame([("rel", "How is Alpha Works related to Beta?"), ("plain", "rivers bridges"), ("none", "zzz"), ("all", "Summarize all rivers")], "query_id string, query string")
+    eng = Engine(spark, d, n, e, node_chunks=nc)
+    routed = {r.query_id: r for r in eng.route(q).collect()}
+    assert routed["rel"].n_entities == 2 and routed["rel"].graph_weight > routed["rel"].vector_weight and routed["none"].n_entities == 0
+    got = {r.query_id: r for r in eng.retrieve(q).collect()}
+    assert set(got) == {"rel", "plain", "none", "all"}
+    rel = got["rel"]
+    assert rel.context.startswith("=== KNOWLEDGE GRAPH CONTEXT ===") and "- Alpha Works R Beta" in rel.context and rel.sources[0].startswith("k")
+    assert sum(x.startswith("k") and x != "k99" for x in rel.sources) <= 20
+    plain_ = got["plain"].context
+    assert plain_.startswith("=== DOCUMENT CONTEXT ===") and "[1] (Source: s" in plain_ and got["plain"].n_sources >= 3
+    assert got["none"].context is None and got["none"].sources == []
+    # a graph in the middle of passages that weigh more
+    mixed = spark.createDataFrame([("m", "rivers bridges Beta passage speaks")], "query_id string, query string")
+    m = Engine(spark, d, n, e, node_chunks=nc).retrieve(mixed).first()
+    if m.vector_weight >= m.graph_weight and m.context.count("(Source:") > 2:
+        assert 0 < m.context.index("[1] (Source") < m.context.index("KNOWLEDGE GRAPH")
+    # a judge and parents
+    from docmill.hooks import Hooks
+
+    judged = Engine(spark, d, hooks=Hooks(judge=lambda query, passage: F.when(passage.contains("Passage 3 "), "yes").otherwise("no"))).retrieve(q.where("query_id = 'plain'")).first()
+    assert judged.sources[0] == "3"
+    child = d.withColumn("parent_id", F.concat(F.lit("p"), (F.col("doc_id") % 2).cast("string")))
+    parents = spark.createDataFrame([("p0", "Even text.", "P"), ("p1", "Odd text.", "P")], "parent_id string, text string, source string")
+    assert set(Engine(spark, child, parents=parents).retrieve(q.where("query_id = 'plain'")).first().sources) == {"p0", "p1"}
+    spark.conf.set("spark.docmill.top_k", "2")
+    spark.conf.set("spark.docmill.compression", "true")
+    try:
+        s = settings_from(spark)
+        assert s.top_k == 2 and s.compression and s.communities == 3
+    finally:
+        spark.conf.unset("spark.docmill.top_k")
+        spark.conf.unset("spark.docmill.compression")
+
+
 def test_agent_protocol():
     t, a = parse('THOUGHT: both\nACTION_1: retrieve_vector\nARGUMENTS_1: {"query": "x"}\nACTION_2: lookup_entity\nARGUMENTS_2: {"entity_name": "y"}')
     assert t == "both" and a == [("retrieve_vector", {"query": "x"}), ("lookup_entity", {"entity_name": "y"})]
