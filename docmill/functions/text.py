@@ -116,18 +116,31 @@ def recover_json(c: Column) -> Column:
     return F.when(c.contains("{"), tried).otherwise(c)
 
 
+# Other names of the fields of an answer.
+FIELD_NAMES = {
+    "name": ("nom", "name"), "type": ("type", "type_entite", "type_entité", "relation", "relationship_type", "type_relation"), "description": ("description",),
+    "confidence": ("confiance", "confidence"), "source": ("source", "source_entity", "entite_source", "entité_source"),
+    "target": ("target", "target_entity", "cible", "entite_cible", "entité_cible"), "attributes": ("attributes", "attributs"),
+}
+
+
 def json_from_response(c: Column, key: str) -> Column:
     """A JSON array (as text) from a model's answer: whole, fenced, the outermost brackets, or the outermost braces.
 
-    An object gives its ``key``, or itself in a list; nothing usable gives null.
+    An object gives its ``key``, an empty list without it; nothing usable gives
+    null. Names of fields that answers in French have are put into English.
     """
     candidates = [c, fenced_json(c), F.regexp_extract(c, r"(?s)\[.*\]", 0), F.regexp_extract(c, r"(?s)\{.*\}", 0)]
     as_list = []
     for x in candidates:
         v = F.to_json(F.try_parse_json(x))
         inner = F.get_json_object(v, f"$.{key}")
-        as_list.append(F.when(v.startswith("["), v).when(v.startswith("{") & inner.startswith("["), inner).when(v.startswith("{"), F.concat(F.lit("["), v, F.lit("]"))))
-    return F.coalesce(*as_list)
+        as_list.append(F.when(v.startswith("["), v).when(v.startswith("{") & inner.startswith("["), inner).when(v.startswith("{"), "[]"))
+    out = F.coalesce(*as_list)
+    for name, others in FIELD_NAMES.items():
+        # quotes inside of texts are escaped, so only names stand between a bare quote and a colon
+        out = F.regexp_replace(out, rf'(?iu)([{{,])"(?:{"|".join(others)})":', f'$1"{name}":')
+    return out
 
 
 def verdict_from_response(c: Column) -> Column:

@@ -205,7 +205,12 @@ def community_members(read):
     return m.join(read("graph_nodes").select(F.col("id").alias("node_id")), "node_id", "left_semi").select("community", "level", "node_id")
 
 
-@query("viewer_feed")
+@query(
+    "viewer_feed",
+    f"""WITH {_MENTIONS}, d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
+SELECT 'node' AS kind, to_json({{'node_id': node_id, 'name': name, 'type': type, 'degree': coalesce(n, 0)}})::VARCHAR AS payload FROM nodes LEFT JOIN d ON node_id = id
+UNION ALL SELECT 'edge', to_json({{'src': src, 'dst': dst, 'rel_type': rel_type, 'weight': weight}})::VARCHAR FROM edges""",
+)
 def viewer_feed(read):
     return graph.viewer_feed(*_tables(read))
 
@@ -394,7 +399,17 @@ def resolved_edges(read):
     return resolution.redirect_support(e, _roots(read)).groupBy("src", "dst").agg(F.count("*").alias("chunks"))
 
 
-@query("rule_verdicts")
+_LOW = r"lower(regexp_replace({c}, '^\s+|\s+$', '', 'g'))"
+_INITIALS = r"array_to_string(list_transform(list_filter(regexp_split_to_array({n}, '\s+'), lambda w: w <> ''), lambda w: w[1]), '')"
+
+
+@query(
+    "rule_verdicts",
+    rf"""WITH {_PAIRS}, n AS (SELECT id, {_LOW.format(c='name')} AS n, list_transform(aliases, lambda x: {_LOW.format(c='x')}) AS al FROM graph_nodes),
+x AS (SELECT id_a, id_b, a.n AS a, b.n AS b, a.al AS al_a, b.al AS al_b, {_INITIALS.format(n='a.n')} AS ia, {_INITIALS.format(n='b.n')} AS ib FROM pairs JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b)
+SELECT id_a, id_b, coalesce(a <> '' AND b <> '' AND (a = b OR coalesce(list_contains(al_a, b), false) OR coalesce(list_contains(al_b, a), false)
+  OR (length(a) >= 2 AND a = ib AND regexp_matches(b, '\s')) OR (length(b) >= 2 AND b = ia AND regexp_matches(a, '\s'))), false) AS same_entity FROM x""",
+)
 def rule_verdicts(read):
     """The default verdict on the candidate pairs."""
     n = read("graph_nodes")

