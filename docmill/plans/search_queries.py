@@ -40,6 +40,12 @@ def _scored(read, docs=None):
     return search.bm25(search.build_index(docs if docs is not None else read("documents")), q).withColumn("score", F.round("score", 6))
 
 
+def _best(read, k, docs=None, among=None):
+    """The ``k`` best documents of each benchmark query are among these; with ``among``, of each group."""
+    q = read("benchmark_queries").where("query is not null").select("query_id", "query")
+    return search.bm25_best(search.build_index(docs if docs is not None else read("documents")), q, k, among)
+
+
 @query(
     "exhaustive_search",
     f"""WITH {_index_sql()}, {_scores_sql(f"SELECT 0 AS query_id, '{ASKED}' AS query")},
@@ -53,7 +59,7 @@ def exhaustive_search(read):
 
 @query("bm25_topk", f"WITH {_index_sql()}, {_scores_sql(_BENCH)} SELECT query_id, doc_id, score, rank FROM {_top(10)}")
 def bm25_topk(read):
-    return search.top_k(_scored(read), 10, ["query_id"])
+    return search.top_k(_best(read, 10), 10, ["query_id"])
 
 
 @query("keyword_fallback", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'irrigation') OR contains(lower(text), 'canal')")

@@ -132,6 +132,39 @@ def test_empty_index(spark):
     assert [r.doc_id for r in got] == [3] and got[0].score > 0
 
 
+def test_best_of_many_queries(spark):
+    """Without pairs of queries and documents, but as from all of them: ties, repeated words, groups, a document given twice, null texts."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(150)]
+    docs = spark.createDataFrame([(f"d{i:03d}", texts[i % 120], rng.choice(["a", "b", None])) for i in range(200)] + [("d007", "w1 w2 w3", "a"), ("e", None, "a")], "doc_id string, text string, group string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices([*words, "none"], k=rng.randint(1, 5)))) for i in range(60)] + [(60, "none"), (61, "")], "query_id int, query string").repartition(3)
+    index = search.build_index(docs)
+    listed = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+    scored = search.bm25(index, q).withColumn("score", F.round("score", 6))
+    best = search.bm25_best(index, q, 5)
+    assert listed(search.top_k(best, 5, ["query_id"])) == listed(search.top_k(scored, 5, ["query_id"]))
+    assert scored.count() > 4 * best.count()
+    counts = search.term_counts(index, q)
+    assert listed(search.top_k(search.term_counts_best(index, q, 5), 5, ["query_id"])) == listed(search.top_k(counts, 5, ["query_id"]))
+    by = ["query_id", "group"]
+    grouped = search.bm25_best(index, q, 2, docs.select("doc_id", "group")).join(docs.select("doc_id", "group"), "doc_id")
+    assert listed(search.top_k(grouped, 2, by)) == listed(search.top_k(scored.join(docs.select("doc_id", "group"), "doc_id"), 2, by))
+    assert search.bm25_best(index, q.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_ranked_queries_make_no_pairs(spark, data, monkeypatch, name):
+    from docmill.plans import catalog
+
+    def pairs(*_):
+        raise AssertionError("all pairs of queries and documents")
+
+    monkeypatch.setattr(search, "bm25", pairs)
+    monkeypatch.setattr(search, "term_counts", pairs)
+    catalog.queries()[name](spark, data)
+
+
 def test_routing(spark):
     kind = lambda q: column(spark, q, lambda c: routing.classify(c)["query_type"])
     assert kind("What is the relationship between A and B?") == "relational"
