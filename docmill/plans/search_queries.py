@@ -107,8 +107,8 @@ def rrf_fusion(read):
     docs = read("documents")
     index = search.build_index(docs)
     q = read("benchmark_queries").where("query is not null").select("query_id", "query")
-    a = search.top_k(search.bm25(index, q).withColumn("score", F.round("score", 6)), 20, ["query_id"])
-    b = search.top_k(search.term_counts(index, q), 20, ["query_id"])
+    a = search.top_k(search.bm25_best(index, q, 20), 20, ["query_id"])
+    b = search.top_k(search.term_counts_best(index, q, 20), 20, ["query_id"])
     return search.rrf([(a, 0.6), (b, 0.4)], "doc_id", ["query_id"]).withColumn("score", F.round("score", 6))
 
 
