@@ -72,7 +72,7 @@ class Engine:
         """(query_id, doc_id, score, rank): lexical and, with an embedder, dense ranks, fused."""
         k = self.settings.top_k
         q = queries.select("query_id", self.hooks.rewrite(F.col("query")).alias("query"))
-        lists = [(search.top_k(search.bm25(self.index, q).withColumn("score", F.round("score", 6)), k, ["query_id"]), 1.0 if self.hooks.embed is None else 1 - self.settings.dense_weight)]
+        lists = [(search.top_k(search.bm25_best(self.index, q, k), k, ["query_id"]), 1.0 if self.hooks.embed is None else 1 - self.settings.dense_weight)]
         if self.hooks.embed is not None:
             embed = self.hooks.embed
             v = self.documents.select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("vec"))
