@@ -121,7 +121,8 @@ SELECT query_id, doc_id, kind, score, rank FROM {_top(10, source='k')}""",
 )
 def multi_index_search(read):
     """Each content type's ten best, weighted by type, then the ten best of all; what has no type counts as a text of its own list."""
-    s = stage(_scored(read).join(read("documents").select("doc_id", "kind"), "doc_id"), "scored")
+    d = read("documents").select("doc_id", "kind")
+    s = stage(_best(read, 10, among=d.withColumnRenamed("kind", "group")).join(d, "doc_id"), "scored")
     kinds = [r[0] for r in s.select("kind").distinct().collect()]  # one row a content type
     lists = {k or "": search.top_k(s.where(F.col("kind").eqNullSafe(F.lit(k))), 10, ["query_id"]).drop("rank") for k in kinds}
     best = search.multi_index(lists, {"Table": 0.9, "Image": 0.8}, 10, "doc_id", ["query_id"])
