@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -117,12 +118,42 @@ def join_sentences(texts: Column, limit: float = 0.8) -> Column:
 def merge_descriptions(members: DataFrame) -> DataFrame:
     """(root, description) of ``members(root, ord, description)``: their sentences in order, without what was said before.
 
-    Equal sentences, case apart, are reduced to the first before a cluster is gathered.
+    Equal sentences, case apart, are reduced to the first before a cluster is
+    gathered. A sentence meets those kept before through the words that they
+    share (as in :func:`join_sentences`, which compares all of them).
     """
     s = members.select("root", "ord", F.posexplode(F.split("description", r"(?<=[.!?])\s+")).alias("pos", "s")).where(F.trim("s") != "")
     once = s.groupBy("root", F.lower(F.trim("s")).alias("k")).agg(F.min(F.struct("ord", "pos", "s")).alias("f"))
-    listed = once.groupBy("root").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["s"]).alias("t"))
-    return listed.select("root", join_sentences(F.col("t")).alias("description"))
+    bag = F.array_distinct(F.filter(F.split(F.lower("f.s"), r"\s+"), lambda w: w != ""))
+    listed = once.select("root", F.col("f").alias("f"), bag.alias("bag")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("f", "bag"))).alias("l"))
+    listed = listed.select("root", F.transform("l", lambda x: x["f"]["s"]).alias("t"), F.transform("l", lambda x: x["bag"]).alias("bags"))
+    kind = members.schema["root"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            texts, bags = b.column(1).to_pylist(), b.column(2).to_pylist()
+            out = [" ".join(t[i] for i in unsaid(g)) for t, g in zip(texts, bags)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["root", "description"])
+
+    return listed.mapInArrow(run, f"root {kind}, description string")
+
+
+def unsaid(bags: list[list[str]], limit: float = 0.8) -> list[int]:
+    """Places of the sentences, as their different words, that share at most ``limit`` of the words of the shorter with each one kept before."""
+    holds: dict[str, list[int]] = {}
+    sizes: list[int] = []
+    kept = []
+    for i, words in enumerate(bags):
+        shared: Counter = Counter()
+        for w in words:
+            shared.update(holds.get(w, ()))
+        if any(n / min(len(words), sizes[j]) > limit for j, n in shared.items()):
+            continue
+        for w in words:
+            holds.setdefault(w, []).append(len(sizes))
+        sizes.append(len(words))
+        kept.append(i)
+    return kept
 
 
 def redirect_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -528,6 +528,22 @@ def test_multi_index_and_members(spark):
     assert {r.root: r.description for r in resolution.merge_descriptions(d).collect()} == {"r": "One two three. Four five six. New words here."}
 
 
+def test_descriptions_of_a_large_cluster():
+    """Sentences meet through their words: as in the plain loop, without comparing all of them."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    bags = [rng.sample(words, rng.randint(1, 9)) for _ in range(400)]
+    kept = []
+    for i, b in enumerate(bags):
+        if not any(len({*b} & {*bags[j]}) / min(len(b), len(bags[j])) > 0.8 for j in kept):
+            kept.append(i)
+    assert resolution.unsaid(bags) == kept and resolution.unsaid([[], []]) == [0, 1]
+    many = [[f"a{i}", f"b{i}", f"c{i}", "the"] for i in range(2000)]
+    began = time.time()
+    assert resolution.unsaid([*many, *many]) == list(range(2000))
+    assert time.time() - began < 60
+
+
 def test_state_with_a_time_to_live(spark, tmp_path):
     src = tmp_path / "kv"
     spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "key string, value double").coalesce(1).write.parquet(str(src))
