@@ -252,5 +252,7 @@ def contexts_once(read):
 
 @query("filtered_topk", f"WITH {_index_sql()}, {_scores_sql(_BENCH)}, f AS (SELECT s.* FROM s JOIN documents USING (doc_id) WHERE contains(lower(source), 'reports')) SELECT query_id, doc_id, score, rank FROM {_top(3, source='f')}")
 def filtered_topk(read):
-    s = _scored(read).join(read("documents").select("doc_id", "source"), "doc_id")
+    d = read("documents").select("doc_id", "source")
+    reports = d.where(F.lower("source").contains("reports")).select("doc_id", F.lit("").alias("group"))
+    s = _best(read, 3, among=reports).join(d, "doc_id")
     return search.filtered_top_k(s, F.lower("source").contains("reports"), 3, ["query_id"]).select("query_id", "doc_id", "score", "rank")
