@@ -223,7 +223,7 @@ k AS (SELECT query_id, unnest(expected_keywords) AS kw FROM benchmark_queries)
 SELECT query_id, round(avg(CASE WHEN contains(txt, lower(kw)) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM k JOIN x USING (query_id) WHERE kw IS NOT NULL GROUP BY query_id""",
 )
 def keyword_hit_rate(read):
-    top = search.top_k(_scored(read), 5, ["query_id"]).join(read("documents").select("doc_id", F.lower("text").alias("t")), "doc_id")
+    top = search.top_k(_best(read, 5), 5, ["query_id"]).join(read("documents").select("doc_id", F.lower("text").alias("t")), "doc_id")
     kw = read("benchmark_queries").select("query_id", F.explode("expected_keywords").alias("kw")).where("kw is not null").withColumn("n", F.monotonically_increasing_id())
     hit = top.select("query_id", "t").join(kw, "query_id").groupBy("query_id", "n").agg(F.max(F.col("t").contains(F.lower("kw")).cast("int")).alias("hit"))
     return hit.groupBy("query_id").agg(F.round(F.avg("hit"), 6).alias("hit_rate"))
