@@ -207,7 +207,7 @@ SELECT query_id, count(*) FILTER (ok) / 10.0 AS precision, round(coalesce(1.0 /
 )
 def retrieval_quality(read):
     """Relevant are documents that hold one of the expected keywords; only retrieved ones are looked at."""
-    top = search.top_k(_scored(read), 10, ["query_id"])
+    top = search.top_k(_best(read, 10), 10, ["query_id"])
     kw = read("benchmark_queries").select("query_id", F.explode("expected_keywords").alias("kw")).where("kw <> ''")
     seen = top.select("query_id", "doc_id").join(read("documents").select("doc_id", F.lower("text").alias("t")), "doc_id")
     rel = seen.join(kw, "query_id").where(F.col("t").contains(F.lower("kw"))).select("query_id", "doc_id")
