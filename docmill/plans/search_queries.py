@@ -246,7 +246,7 @@ def compressed_context(read):
 @query("contexts_once")
 def contexts_once(read):
     """Matching blocks of two texts aren't in SQL; checked by pytest."""
-    top = search.top_k(_scored(read), 5, ["query_id"]).join(read("documents").select("doc_id", "text"), "doc_id")
+    top = search.top_k(_best(read, 5), 5, ["query_id"]).join(read("documents").select("doc_id", "text"), "doc_id")
     return search.without_near_repeats(top.select("query_id", "rank", "doc_id", "text"), "query_id", "rank", "text").select("query_id", "rank", "doc_id")
 
 
