@@ -180,7 +180,7 @@ def metadata_lookup(read):
 SELECT query_id, doc_id, (CASE WHEN n <= 2 THEN i + 1 WHEN i % 2 = 0 THEN i // 2 + 1 ELSE n - (i - 1) // 2 END)::INT AS place FROM r""",
 )
 def lost_in_middle(read):
-    top = search.top_k(_scored(read), 7, ["query_id"])
+    top = search.top_k(_best(read, 7), 7, ["query_id"])
     return search.lost_in_middle(top, "rank", ["query_id"]).select("query_id", "doc_id", "place")
 
 
