@@ -143,7 +143,7 @@ def parent_expand(read):
     d = read("documents").where("text is not null")
     child = d.select(F.col("doc_id").alias("parent"), F.posexplode(chunking.windows(F.col("text"), 80, 16)).alias("i", "text"))
     child = child.select(F.concat_ws(":", "parent", "i").alias("doc_id"), "text")
-    top = search.top_k(_scored(read, child), 10, ["query_id"]).withColumn("parent_id", F.substring_index("doc_id", ":", 1).cast("long"))
+    top = search.top_k(_best(read, 10, child), 10, ["query_id"]).withColumn("parent_id", F.substring_index("doc_id", ":", 1).cast("long"))
     parents = d.select(F.col("doc_id").alias("parent_id"))
     return search.parent_expand(top, parents, by=["query_id"]).select("query_id", "parent_id", "rank", "score")
 

@@ -153,7 +153,7 @@ def test_best_of_many_queries(spark):
     assert search.bm25_best(index, q.where("false"), 5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "fused_context", "multi_index_search", "filtered_topk", "reranked_yes_no", "keyword_hit_rate", "retrieval_quality", "contexts_once", "lost_in_middle"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "fused_context", "multi_index_search", "filtered_topk", "reranked_yes_no", "keyword_hit_rate", "retrieval_quality", "contexts_once", "lost_in_middle", "parent_expand"])
 def test_ranked_queries_make_no_pairs(spark, data, monkeypatch, name):
     from docmill.plans import catalog
 
