@@ -11,7 +11,9 @@ fewer of them, until one shard is left.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections import Counter
+from heapq import heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,6 @@ CAPACITY = 2048
 SHARD_ITEMS = 40_000
 #: A container at least this full isn't packed again.
 FULL_SHARE = 0.98
-SEARCH_PASSES = 4
 
 
 def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -63,68 +64,82 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = SEARCH_PASSES) -> list[list[int]]:
-    """Local search over underfull containers; every step raises the sum of squared fills."""
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search over underfull containers until no step is left; every step raises the sum of squared fills.
+
+    Containers take in turn, the fullest first, from all that come after them.
+    What these hold, single items and pairs of one container, is offered by size,
+    and under each size by the fill of its container, the emptiest first: if that
+    one can't give it with a gain, none of the others can, so every partner counts.
+    """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(passes):
-        order = sorted((b for b in range(len(bins)) if bins[b]), key=lambda b: (-fill[b], b))
+    issue = [0] * len(bins)  # offers of an earlier one are void
+    changed = True
+    while changed:
         changed = False
-        # donors: items of emptier containers, by size; the emptiest are used up first among equals
-        donors: list[tuple[int, int]] = sorted((sizes[i], i) for b in order for i in bins[b])
-        home = {i: b for b in order for i in bins[b]}
-        rank = {b: r for r, b in enumerate(order)}
+        ones: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        twos: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        some = {1: 0, 2: 0}  # bit s is set where something of size s is offered
+
+        def offer(b):
+            issue[b] += 1
+            own = Counter(sizes[i] for i in bins[b])
+            pairs = {x + y for x, y in combinations(own, 2)} | {2 * x for x, n in own.items() if n > 1}
+            for n, heaps, offered in ((1, ones, own), (2, twos, pairs)):
+                for size in offered:
+                    if size <= capacity:
+                        heappush(heaps[size], (fill[b], b, issue[b]))
+                        some[n] |= 1 << size
+
+        def largest(n, heaps, least, most, have, a):
+            """Largest size above ``least``, up to ``most``, that raises the sum of squares in exchange for ``have``, and who gives it."""
+            while (size := (some[n] & ((2 << most) - 1)).bit_length() - 1) > least:
+                heap = heaps[size]
+                while heap and issue[heap[0][1]] != heap[0][2]:
+                    heappop(heap)
+                if not heap:
+                    some[n] ^= 1 << size
+                elif fill[a] + size - have > heap[0][0]:
+                    return size, heap[0][1]
+                else:
+                    most = size - 1
+            return None
+
+        order = sorted((b for b in range(len(bins)) if bins[b]), key=lambda b: (-fill[b], b))
+        for b in order:
+            offer(b)
         for a in order:
-            if not bins[a]:
-                continue
-            for _ in range(8):
-                room = capacity - fill[a]
-                if room <= 0:
-                    break
-                best = (0, None, ())
-                # a move, or an exchange of one for one: gain is what the fuller container grows by
-                for x in [None, *bins[a][:24]]:
-                    have = sizes[x] if x is not None else 0
-                    at = bisect_right(donors, (have + room, 1 << 62)) - 1
-                    tries = 0
-                    while at >= 0 and tries < 12 and donors[at][0] - have > best[0]:
-                        size, y = donors[at]
-                        b = home[y]
-                        if b != a and rank[b] > rank[a] and fill[a] + size - have > fill[b]:
-                            best = (size - have, x, (y,))
-                            break
-                        at -= 1
-                        tries += 1
-                # two for one: two items of one emptier container
-                if best[0] < room:
-                    for b in order[: rank[a] : -1][:6]:
-                        own = sorted(bins[b], key=lambda i: sizes[i])
-                        for x in bins[a][:12]:
-                            lo, hi = 0, len(own) - 1
-                            while lo < hi:
-                                gain = sizes[own[lo]] + sizes[own[hi]] - sizes[x]
-                                if gain > room:
-                                    hi -= 1
-                                else:
-                                    if gain > best[0] and fill[a] + gain > fill[b]:
-                                        best = (gain, x, (own[lo], own[hi]))
-                                    lo += 1
-                gain, x, ys = best
-                if not ys:
+            issue[a] += 1  # gives to none after it
+            while bins[a] and (room := capacity - fill[a]) > 0:
+                gain, step = 0, None
+                own = sorted({sizes[i] for i in bins[a]})
+                # a move, or an exchange of one for one, then of two for one: gain is what the fuller container grows by
+                for n, heaps, given in ((1, ones, [0, *own]), (2, twos, own)):
+                    for have in given:
+                        if gain < room and (found := largest(n, heaps, have + gain, min(capacity, have + room), have, a)):
+                            gain, step = found[0] - have, (n, have, *found)
+                if step is None:
                     break
-                b = home[ys[0]]
+                n, have, size, b = step
+                held = {}
+                for i in bins[b]:
+                    held.setdefault(sizes[i], []).append(i)
+                if n == 1:
+                    ys = held[size][:1]
+                else:
+                    x = next(x for x in sorted(held) if size - x in held and (size != 2 * x or len(held[x]) > 1))
+                    ys = held[x][:2] if size == 2 * x else [held[x][0], held[size - x][0]]
                 for y in ys:
                     bins[b].remove(y)
                     bins[a].append(y)
-                    home[y] = a
-                if x is not None:
+                if have:
+                    x = next(i for i in bins[a] if sizes[i] == have and i not in ys)
                     bins[a].remove(x)
                     bins[b].append(x)
-                    home[x] = b
                 fill[a] += gain
                 fill[b] -= gain
+                offer(b)
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 

@@ -1,5 +1,6 @@
 """The ten operators: against brute force, round trips, and with nulls, blanks, ties, repeats, empty tables and clashing columns."""
 
+import itertools
 import random
 from collections import Counter
 from pathlib import Path
@@ -503,6 +504,28 @@ def test_packing_of_a_shard(sizes):
     assert sum(1 for v in used if 2 * v <= 100) <= 1
 
 
+def test_packing_search_leaves_no_step():
+    """No move, exchange or two for one is left between any containers, however many there are and hold."""
+    rng = random.Random(1)
+    sizes = [rng.choice([1, 2, 3, 5, 8, 13, 21, 34, 40]) for _ in range(260)]
+    bins, fill = [], []
+    for i, size in enumerate(sizes):
+        at = next((b for b in range(len(bins)) if fill[b] + size <= rng.randint(60, 97)), len(bins))
+        if at == len(bins):
+            bins.append([])
+            fill.append(0)
+        bins[at].append(i)
+        fill[at] += size
+    out = packing.improve(bins, sizes, 100)
+    assert sorted(i for b in out for i in b) == list(range(len(sizes)))
+    full = [sum(sizes[i] for i in b) for b in out]
+    assert max(full) <= 100
+    for a, b in itertools.permutations(range(len(out)), 2):
+        one, two = {sizes[i] for i in out[b]}, {sizes[i] + sizes[j] for i, j in itertools.combinations(out[b], 2)}
+        gains = {y - x for x in {0, *(sizes[i] for i in out[a])} for y in one} | {y - sizes[i] for i in out[a] for y in two}
+        assert not any(0 < g <= 100 - full[a] and full[a] + g > full[b] for g in gains)
+
+
 def test_packing(spark):
     rng = random.Random(9)
     sizes = [rng.randint(1, 400) for _ in range(3000)] + [5000, 1000, 2000, 0, 0]
